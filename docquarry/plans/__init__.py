@@ -1,0 +1 @@
+"""The query catalogue."""
