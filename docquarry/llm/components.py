@@ -41,4 +41,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    # All edges now lead to the least node; that one leads to itself.
+    ends = now.unionByName(now.select(F.col("v").alias("u"), "v"))
+    return ends.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))

@@ -39,7 +39,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     held = (
         lines.where(F.char_length("__dq_key") >= min_chars)
         .groupBy(F.xxhash64("__dq_key").alias("__dq_h1"), F.xxhash64(F.lit(1), "__dq_key").alias("__dq_h2"), "doc_id")
-        .agg(F.collect_list(F.struct("__dq_mark", "__dq_pos")).alias("__dq_at"))
+        .agg(F.collect_set(F.struct("__dq_mark", "__dq_pos")).alias("__dq_at"))
     )
     common = (
         held.groupBy("__dq_h1", "__dq_h2")
