@@ -202,10 +202,12 @@ class Mapping:
     extra: dict = field(default_factory=dict)
 
     def validate(self) -> None:
-        compile_path(self.record_path)
+        """Paths must compile; a root record type (path from ``$``) needs content or a title."""
+        root = self.record_path.startswith("$")
+        compile_path(self.record_path, relative=not root)
         for f in self.fields:
             compile_path(f.path, relative=True)
-        if self.chunk_policy != "ignore" and not any(f.role in ("content", "title") for f in self.fields):
+        if root and self.chunk_policy != "ignore" and not any(f.role in ("content", "title") for f in self.fields):
             raise ValueError("a root record type needs a content or a title field")
 
 
