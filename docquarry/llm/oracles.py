@@ -1,11 +1,12 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
-_WORDS = _WORDS.replace(r"\x0B", r"\x{0B}".replace("{", "{{").replace("}", "}}"))
+from . import quality
+
+_SPACE = r"[ \t\n\v\f\r]"
 
 
 def words(column: str) -> str:
-    return _WORDS.format(column)
+    return f"list_filter(regexp_split_to_array(coalesce({column}, ''), '{_SPACE}+'), lambda w: w <> '')"
 
 
 def lower_ascii(expression: str) -> str:
@@ -46,4 +47,52 @@ c AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
 """
 
-SQL = {"op4_line_dedup": OP4, "op5_url_filter": OP5, "op8_chat": OP8}
+def _bucket(v: str) -> str:
+    width = f"(2 ** greatest(length(bin({v})) - {len(bin(quality.SUB)) - 2}, 0))::BIGINT"
+    return f"({v} // {width}) * {width}"
+
+
+def _feature(expression: str) -> str:
+    return expression.replace(" div ", " // ")
+
+
+_NAMES = list(quality.FEATURES)
+_LONG = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS feature, {_feature(e)} AS v FROM f" for k, (e, _) in quality.FEATURES.items())
+_SLACK = " ".join(f"WHEN '{k}' THEN {s}" for k, (_, s) in quality.FEATURES.items())
+
+
+def _fences(keys: str) -> str:
+    by = f"{keys}, feature" if keys else "feature"
+    return f"""(WITH m AS (SELECT {by}, bucket, sum(n) AS n FROM k GROUP BY {by}, bucket),
+      r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM m),
+      q AS (SELECT {by}, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS total FROM r GROUP BY {by})
+      SELECT {by}, total, q3 + greatest((q3 - q1) * {quality.FENCE}, CASE feature {_SLACK} END) AS fence FROM q)"""
+
+
+OP3 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {words("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS lines FROM d),
+p AS (SELECT rid, i, array_to_string(ws[i + 1:i + 8], ' ') AS g FROM (SELECT rid, ws, unnest(range(0, len(ws) - 7)) AS i FROM w)),
+a AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM p),
+r AS (SELECT rid, count(DISTINCT i + o)::BIGINT AS n FROM a, range(0, 8) x(o) WHERE c > 1 GROUP BY rid),
+f AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  len(lines)::BIGINT AS n_lines, len([1 for j in range(1, len(ws)) if ws[j] = ws[j + 1]])::BIGINT AS n_stutter FROM w LEFT JOIN r USING (rid)),
+l AS ({_LONG}),
+k AS (SELECT lang, source, feature, {_bucket("v")} AS bucket, count(*) AS n FROM l GROUP BY ALL),
+own AS {_fences("lang, source")}, per_lang AS {_fences("lang")}, every AS {_fences("")},
+v AS (SELECT l.rid, bool_or(l.v > CASE WHEN o.total >= 100 THEN o.fence WHEN g.total >= 100 THEN g.fence ELSE e.fence END) AS above
+  FROM l JOIN own o ON o.lang IS NOT DISTINCT FROM l.lang AND o.source IS NOT DISTINCT FROM l.source AND o.feature = l.feature
+  JOIN per_lang g ON g.lang IS NOT DISTINCT FROM l.lang AND g.feature = l.feature JOIN every e ON e.feature = l.feature GROUP BY l.rid),
+b AS (SELECT f.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM b JOIN v USING (rid)
+"""
+
+_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INT >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+OP7 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p
+"""
+
+SQL = {"op3_quality": OP3, "op4_line_dedup": OP4, "op5_url_filter": OP5, "op7_warc": OP7, "op8_chat": OP8}
