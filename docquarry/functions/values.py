@@ -191,3 +191,73 @@ def frame_target(seconds: Column, most: int = 100) -> Column:
         .when(seconds <= 60, 40).when(seconds <= 180, 60).when(seconds <= 600, 80).otherwise(most)
     )
     return F.least(wanted, F.lit(most))
+
+
+def joined(c: Column, separator: str = ", ") -> Column:
+    """Items of an array as one text; a null item reads ``None``."""
+    return F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("None"))), separator)
+
+
+def source_fingerprint(url: Column) -> Column:
+    """24 hex digits that name a source: of its video id, or of its normalised URL."""
+    return F.substring(F.sha2(F.concat(F.lit("url\0"), F.coalesce(video_id(url), normalized_url(url))), 256), 1, 24)
+
+
+def is_safe_name(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"^[\w-][\w.-]{0,127}$") & ~F.contains(c, F.lit("..")), F.lit(False))
+
+
+def starts_with_array(c: Column) -> Column:
+    """Whether a JSON text's root is an array, by its first visible character in 64."""
+    return F.substring(c, 1, 64).rlike(r"^\s*\[")
+
+
+#: Permissions of local roles ("*" is all), and transforms by inferred type.
+LOCAL_PERMISSIONS = {"user": ("project:view", "chat:use"), "account_admin": ("*",)}
+TRANSFORMS_BY_TYPE = {
+    "string": ("trim", "normalize_whitespace", "normalize_newlines", "strip_html", "to_number", "to_boolean", "parse_datetime"),
+    "number": ("to_string", "to_boolean"), "boolean": ("to_string",), "array": ("join", "deduplicate", "remove_child_echo"),
+    "object": (), "null": ("to_string",), "mixed": ("to_string",),
+}
+
+
+def may(role: Column, permission: Column) -> Column:
+    own = F.create_map(*(x for r, p in LOCAL_PERMISSIONS.items() for x in (F.lit(r), F.array(*map(F.lit, p)))))
+    held = F.coalesce(F.try_element_at(own, role), F.array().cast("array<string>"))
+    return F.array_contains(held, "*") | F.array_contains(held, permission)
+
+
+def allowed_transforms(kind: Column, applied: Column) -> Column:
+    """Transforms for an inferred type that are not applied yet."""
+    empty = F.array().cast("array<string>")
+    by = F.create_map(*(x for k, names in TRANSFORMS_BY_TYPE.items() for x in (F.lit(k), F.array(*map(F.lit, names)) if names else empty)))
+    return F.array_except(F.try_element_at(by, kind), applied)
+
+
+def inferred_type(types: Column, container: Column, nulls: Column, observed: Column) -> Column:
+    return (
+        F.when(F.contains(types, F.lit(",")), "mixed").when(container.isin("array", "object"), container)
+        .when((nulls > 0) & (nulls == observed), "null").otherwise("string")
+    )
+
+
+def trimmed_items(c: Column) -> Column:
+    """Items of an array stripped, blank ones dropped; null is empty."""
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda x: x != "")
+
+
+def captions_by_clock(c: Column) -> Column:
+    """A map of time stamps to captions: blank captions dropped, times in clock form."""
+    kept = F.map_filter(c, lambda k, v: strip(v) != "")
+    time = lambda k: F.when(k.rlike(r"^\d+(:\d{1,2}){0,2}(\.\d+)?$"), clock(clock_seconds(k))).otherwise(strip(k))
+    pairs = F.transform(F.map_entries(kept), lambda e: F.struct(time(e.key).alias("k"), strip(e.value).alias("v")))
+    return F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p.k), F.create_map(p.k, p.v)))
+
+
+def labelled_sections(*sections: tuple[str, Column]) -> Column:
+    """Sections under their labels, joined by blank lines; empty ones are left out."""
+    return F.concat_ws("\n\n", *(F.when(strip(text) != "", F.concat(F.lit(f"【{label}】\n"), text)) for label, text in sections))
+
+
+def bullets(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")

@@ -182,3 +182,31 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, left_time: str,
     rest = [c for c in right.columns if c != key]
     best = hits.groupBy("__id").agg(F.min_by(F.struct(*rest), F.struct(gap, -F.col(right_time))).alias("__r"))
     return l.join(best, "__id", "left").select(*left.columns, *(F.col(f"__r.{c}") for c in rest))
+
+
+def transcript_segments(files: DataFrame, key: str = "media_id", text: str = "transcript") -> DataFrame:
+    """(key, n, seconds, text) of a transcript: a line ``[time] text`` opens a segment, and lines
+    without a time belong to the one before (to none: seconds -1)."""
+    lines = files.select(key, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("i", "line")).where(strip(F.col("line")) != "")
+    mark = r"^\s*\[(\d+(?:\.\d+)?|\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?)\]\s*(.*)$"
+    opens = F.col("line").rlike(mark)
+    w = Window.partitionBy(key).orderBy("i")
+    n = F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    plain = F.col("n") == 0  # before the first time stamp the first line opens
+    parts = lines.select(key, "i", n.alias("n"), F.when(opens, clock_seconds(F.regexp_extract("line", mark, 1))).alias("s"), F.when(opens, strip(F.regexp_extract("line", mark, 2))).otherwise(strip(F.col("line"))).alias("t"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda p: p.t), " ")
+    return parts.groupBy(key, "n").agg(F.coalesce(F.max("s"), F.lit(-1.0)).alias("seconds"), strip(joined).alias("text")).select(key, "n", F.when(plain, -1.0).otherwise(F.col("seconds")).alias("seconds"), "text")
+
+
+def failed_chunks(results: DataFrame, planned: DataFrame) -> DataFrame:
+    """(media_id, index) of chunks with an error or without a result."""
+    bad = results.where("error is not null").select("media_id", "index")
+    return bad.unionByName(planned.select("media_id", "index").join(results, ["media_id", "index"], "left_anti")).distinct()
+
+
+def library(states: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row per video of several library roots (root, name, and nullable columns): the first
+    root by ``priority`` wins where it has a value."""
+    rest = [c for c in states.columns if c not in ("root", "name")]
+    ranked = states.join(F.broadcast(roots), "root")
+    return ranked.groupBy("name").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("priority"))).alias(c) for c in rest))

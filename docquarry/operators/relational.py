@@ -79,3 +79,45 @@ def rate_limited(failures: DataFrame, key: str, ts: str, seconds: int = 60, most
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return failures.withColumn("recent", F.count("*").over(w)).withColumn("limited", F.col("recent") >= most)
+
+
+def merge_events(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Union of event lists; of events with one key the newer list's stays."""
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    w = Window.partitionBy(*key).orderBy(F.desc("__new"))
+    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
+
+
+def usage_counts(versions: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(template_id, uses, versions): bindings per template, 0 without any."""
+    uses = bindings.groupBy("version_id").agg(F.count("*").alias("uses"))
+    return versions.join(uses, "version_id", "left").groupBy("template_id").agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), F.count("*").alias("versions"))
+
+
+def claimable_job(jobs: DataFrame, most_attempts: int = 3) -> DataFrame:
+    """The pending job with the least id that may still be tried."""
+    return jobs.where((F.col("status") == "pending") & (F.col("attempts") < most_attempts)).orderBy("id").limit(1)
+
+
+def live_sessions(users: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
+    return users.join(sessions.where(F.col("expires_at") > now), "user_id")
+
+
+def filtered_documents(docs: DataFrame, now: Column, status: str | None = None, size: str | None = None, age_days: int | None = None, has_chunks: bool | None = None, title: str | None = None) -> DataFrame:
+    """Documents by shown status, size tier (small to 100 KiB, medium under 1 MiB, large), age,
+    chunks and a part of the title; filters that are not given let all pass."""
+    tests = []
+    if status:
+        tests.append(F.col("status") == status)
+    if size:
+        kib = F.col("bytes") / 1024
+        tests.append({"small": kib <= 100, "medium": (kib > 100) & (kib < 1024), "large": kib >= 1024}[size])
+    if age_days is not None:
+        tests.append(F.unix_timestamp("created_at") >= F.unix_timestamp(now) - age_days * 86400)
+    if has_chunks is not None:
+        tests.append((F.coalesce("chunk_count", F.lit(0)) > 0) == has_chunks)
+    if title:
+        tests.append(F.contains(F.lower("title"), F.lower(F.lit(title))))
+    for t in tests:
+        docs = docs.where(t)
+    return docs
