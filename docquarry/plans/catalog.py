@@ -470,3 +470,97 @@ def eval_recall_mrr(spark, d):
     cases = docs.select("query_id", F.col("lang").alias("kind")).distinct()
     m = evaluation.retrieval_metrics(ranked, relevant, cases, 10)
     return m.select("kind", "cases", *(six(F.col(x)).alias(x) for x in ("recall", "precision", "top1", "mrr")), "overall")
+
+
+# --- whole runs and small operators --------------------------------------------------------
+
+
+@query()
+def retrieve_and_expand(spark, d):
+    """Questions are every hundredth document's first characters; knowledge bases are labels."""
+    from ..operators import answering
+
+    e = table(spark, d, "embeddings")
+    docs = table(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"))
+    chunks = docs.select(
+        F.col("label").alias("kb_id"), (F.col("doc_id") % 50).alias("doc_id"), (F.col("doc_id") / 50).cast("int").alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"),
+        F.lit(None).cast("string").alias("record_id"), F.substring("text", 1, 2000).alias("content"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    kbs = e.select(F.col("label").alias("kb_id"), F.lit(1).alias("owner_id")).distinct()
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("owner_id"), F.substring("text", 1, 60).alias("question"), F.col("embedding").cast("array<double>").alias("query_vector"))
+    questions = asked.crossJoin(F.broadcast(kbs.select("kb_id", F.col("kb_id").alias("kb_order")).limit(100)))  # at most 100 knowledge bases a question
+    prepared = answering.prepared_chunks(chunks)
+    found = answering.retrieve(prepared, questions, kbs, 5)
+    return answering.expand_context(found, prepared, questions).select("query_id", "place", "chunk_id", "is_neighbor", six(F.col("score")).alias("score"), "tokens")
+
+
+@query(r"""
+SELECT doc_id, len(list_filter([trim(s, ' ' || chr(9) || chr(10) || chr(13)) for s in regexp_extract_all(text, '[^。！？；!?;…]*[。！？；!?;…]+|[^。！？；!?;…]+$')], lambda s: s <> ''))::BIGINT AS sentences,
+  greatest(1, greatest(len(regexp_extract_all(text, '[A-Za-z0-9]+')), ceil(length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')) / 4)))::BIGINT AS speech_tokens FROM documents
+""")
+def sentence_and_speech_counts(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(t)).cast("long").alias("sentences"), T.speech_token_estimate(t).alias("speech_tokens"))
+
+
+@query("""
+SELECT event_id, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS clock
+FROM (SELECT event_id, floor(value * 50)::BIGINT AS s FROM events)
+""")
+def clock_format(spark, d):
+    return table(spark, d, "events").select("event_id", V.clock(F.col("value") * 50).alias("clock"))
+
+
+@query("SELECT conv_id, (max(turn) + 1)::BIGINT AS next_sequence FROM conversations GROUP BY conv_id")
+def next_sequence(spark, d):
+    return conversation.next_sequence(table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+def last_messages(spark, d):
+    return conversation.last_messages(table(spark, d, "conversations").select("conv_id", "turn", "role"), 2)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def page_of_orders(spark, d):
+    return relational.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3, 50)
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'pending' END AS shown FROM events
+""")
+def shown_states(spark, d):
+    return table(spark, d, "events").select("event_id", V.shown_state(F.col("event_type")).alias("shown"))
+
+
+@query("""
+WITH a AS (SELECT event_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id, 'new' AS event_type FROM events WHERE event_id % 3 = 0)
+SELECT coalesce(b.event_id, a.event_id) AS event_id, coalesce(b.event_type, a.event_type) AS event_type FROM a FULL JOIN b ON a.event_id = b.event_id
+""")
+def event_merge_last_wins(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    return relational.merge_events(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("event_type", F.lit("new")), ["event_id"])
+
+
+@query("""
+SELECT n_name, count(DISTINCT c_custkey)::BIGINT AS customers, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY n_name
+""")
+def tpch_returns_by_nation(spark, d):
+    t = lambda n: table(spark, d, n)
+    j = (
+        t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    )
+    return j.groupBy("n_name").agg(F.count_distinct("c_custkey").alias("customers"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(avg(l_discount), 6) AS avg_disc, count(*)::BIGINT AS count_order
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
+""")
+def tpch_pricing_summary(spark, d):
+    li = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("count_order"),
+    )
