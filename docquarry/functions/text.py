@@ -102,7 +102,7 @@ def redacted(c: Column, secret: str | None = None) -> Column:
     cookies, and ``secret`` itself if given."""
     if secret:
         c = F.replace(c, F.lit(secret), F.lit("[REDACTED]"))
-    for kept, value in (("X-Signature[:=]\\s*", "[\\w+/=-]+"), ("X-Nonce[:=]\\s*", "[\\w+/=-]+"), ("Authorization[:=]\\s*Bearer\\s+", "[\\w.~+/=-]+"), ("rag_database_session=", "[^;,\\s]+")):
+    for kept, value in (("X-Signature[:=]\\s*", "[\\w+/=-]+"), ("X-Nonce[:=]\\s*", "[\\w+/=-]+"), ("Authorization[:=]\\s*Bearer\\s+", "[\\w.~+/=-]+"), ("\\w*session=", "[^;,\\s]+")):
         c = F.regexp_replace(c, f"({kept}){value}", "$1[REDACTED]")
     return c
 

@@ -201,3 +201,11 @@ def verify_run(found: DataFrame, expected: DataFrame, key: str = "chunk_id", dig
         n(F.col("e").isNull()).alias("unexpected"), n(F.col("f") != F.col("e")).alias("changed"),
     )
     return out.withColumn("verified", F.expr("missing = 0 and unexpected = 0 and changed = 0"))
+
+
+def order_free_digest(rows: DataFrame, digest: str) -> DataFrame:
+    """One row: count and the sum of the first 60 bits of each hexadecimal digest. It merges
+    from any partitioning in any order, so unlike a hash of sorted digests it never brings a
+    run's rows together."""
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest_sum"))

@@ -564,3 +564,8 @@ def tpch_pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("count_order"),
     )
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(('0x' || substr(sha256(text), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest_sum FROM documents")
+def run_verify_order_free(spark, d):
+    return retrieval.order_free_digest(table(spark, d, "documents").select(F.sha2("text", 256).alias("h")), "h")

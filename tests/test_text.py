@@ -35,7 +35,7 @@ def one(spark, value, expression):
         (lambda c: T.slices(c, 2), "abcde", ["ab", "cd", "e"]),
         (lambda c: T.slices(c, 2), "", []),
         (T.short_title, "x" * 21, "x" * 20 + "…"),
-        (T.redacted, "Authorization: Bearer abc.d X-Nonce: q1 rag_database_session=zz; y", "Authorization: Bearer [REDACTED] X-Nonce: [REDACTED] rag_database_session=[REDACTED]; y"),
+        (T.redacted, "Authorization: Bearer abc.d X-Nonce: q1 app_session=zz; y", "Authorization: Bearer [REDACTED] X-Nonce: [REDACTED] app_session=[REDACTED]; y"),
         (T.json_object, 'say {"a": {"b": 1}} end', '{"a": {"b": 1}}'),
         (lambda c: T.citations(c, F.lit(3)), "a [2] 【1】 [9] [2]", [2, 1]),
         (T.bigrams, "abab😀", ["ab", "ba", "b😀"]),
