@@ -91,7 +91,7 @@ def dice_rescore(spark, d):
 @query(f"""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS} AS score, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 100),
-n AS (SELECT r.*, {_NORM.format("r.text")} AS t, substr({_NORM.format("dq.text")}, 1, 60) AS q FROM r JOIN documents dq ON dq.doc_id = r.query_id),
+n AS (SELECT r.*, {_NORM.format("r.text")} AS t, {_NORM.format("b.text")} AS q FROM r JOIN benchmark b ON b.item_id * 100 = r.query_id),
 x AS (SELECT *, CASE WHEN q = '' OR t = '' THEN 0.0 WHEN contains(t, q) THEN 1.0 WHEN length(q) = 1 OR length(t) = 1 THEN (q = t)::INT::DOUBLE
   ELSE 2.0 * len(list_intersect({_BI.format("q")}, {_BI.format("t")})) / (len({_BI.format("q")}) + len({_BI.format("t")})) END AS lexical FROM n)
 SELECT query_id, id, round(score, 6) AS score, round(lexical, 6) AS lexical, round(0.75 * score + 0.25 * lexical, 6) AS rank_score,
@@ -100,7 +100,7 @@ SELECT query_id, id, round(score, 6) AS score, round(lexical, 6) AS lexical, rou
 def hybrid_rank(spark, d):
     e, q = _vectors(spark, d)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("content"))
-    texts = docs.select(F.col("id").alias("query_id"), F.substring("content", 1, 60).alias("query_text"))
+    texts = table(spark, d, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("query_text"))
     hits = retrieval.dense_search(e.join(docs, "id"), q, 5).join(texts, "query_id")
     scored = retrieval.hybrid_rescore(hits).withColumn("by", F.round("rank_score", 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("by"), "rank")
@@ -229,10 +229,10 @@ def text_transforms(spark, d):
 
 
 @query("""
-SELECT doc_id, i::INT AS slice_no, sha256(substr(text, i * 500 + 1, 500)) AS part FROM documents, range(0, 40) r(i) WHERE i * 500 < length(text) AND length(text) <= 20000
+SELECT doc_id, i::INT AS slice_no, sha256(substr(text, i * 500 + 1, 500)) AS part FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents)
 """)
 def chunk_resplit_500(spark, d):
-    docs = table(spark, d, "documents").where(F.char_length("text") <= 20000).select("doc_id", F.posexplode(T.slices(F.col("text"), 500)).alias("slice_no", "part"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(T.slices(F.col("text"), 500)).alias("slice_no", "part"))
     return docs.withColumn("part", F.sha2("part", 256))
 
 
@@ -477,18 +477,20 @@ def eval_recall_mrr(spark, d):
 
 @query()
 def retrieve_and_expand(spark, d):
-    """Questions are every hundredth document's first characters; knowledge bases are labels."""
+    """Questions are benchmark texts at the vectors divisible by 100, each over two knowledge
+    bases, which are labels."""
     from ..operators import answering
 
     e = table(spark, d, "embeddings")
     docs = table(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"))
     chunks = docs.select(
         F.col("label").alias("kb_id"), (F.col("doc_id") % 50).alias("doc_id"), (F.col("doc_id") / 50).cast("int").alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"),
-        F.lit(None).cast("string").alias("record_id"), F.substring("text", 1, 2000).alias("content"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.lit(None).cast("string").alias("record_id"), F.col("text").alias("content"), F.col("embedding").cast("array<double>").alias("embedding"),
     )
     kbs = e.select(F.col("label").alias("kb_id"), F.lit(1).alias("owner_id")).distinct()
-    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("owner_id"), F.substring("text", 1, 60).alias("question"), F.col("embedding").cast("array<double>").alias("query_vector"))
-    questions = asked.crossJoin(F.broadcast(kbs.select("kb_id", F.col("kb_id").alias("kb_order")).limit(100)))  # at most 100 knowledge bases a question
+    asked = e.where("vec_id % 100 = 0").join(table(spark, d, "benchmark"), F.col("item_id") * 100 == F.col("vec_id"))
+    both = F.posexplode(F.array("label", (F.col("label") + 1) % 10)).alias("kb_order", "kb_id")
+    questions = asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("owner_id"), F.col("text").alias("question"), F.col("embedding").cast("array<double>").alias("query_vector"), both)
     prepared = answering.prepared_chunks(chunks)
     found = answering.retrieve(prepared, questions, kbs, 5)
     return answering.expand_context(found, prepared, questions).select("query_id", "place", "chunk_id", "is_neighbor", six(F.col("score")).alias("score"), "tokens")
