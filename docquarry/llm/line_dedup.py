@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, lower_ascii, put
+from .common import SPACE_CHARS, lower_ascii, materialize, put
 
 
 def line_key(line: Column) -> Column:
@@ -13,7 +13,7 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, most_broadcast: int = 500_000) -> DataFrame:
     """Remove boilerplate lines from ``docs`` (doc_id, text, ...).
 
     Lines whose key has at least ``min_chars`` code points and is found in at least
@@ -21,10 +21,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     stays). Adds ``n_lines`` (before) and ``n_dropped``; ``text`` becomes the kept lines
     joined by a line feed.
 
-    Plan: explode normalised lines to slim (hash, doc_id) rows, dedupe those, count
-    documents per hash (map-side combined, so a hot line is one row per task), join the
+    Plan: explode normalised lines to slim (hash, doc_id) rows, dedupe and write those once,
+    count documents per hash (map-side combined, so a hot line is one row per task), join the
     hashes over the threshold back to the slim rows, and give each document its positions
-    to drop. Only then the texts move, once, to meet their positions.
+    to drop. Only then the texts move, once, to meet their positions. The hashes over the
+    threshold are broadcast while they are at most ``most_broadcast``, so that a hot line's
+    rows stay where they are; beyond, they are joined by shuffle.
 
     Null or empty text: one empty line, nothing dropped, text ''. Null doc_id: passes
     unchanged and counts for no line. Repeated rows count as one document and are treated
@@ -41,11 +43,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .groupBy(F.xxhash64("__dq_key").alias("__dq_h1"), F.xxhash64(F.lit(1), "__dq_key").alias("__dq_h2"), "doc_id")
         .agg(F.collect_set(F.struct("__dq_mark", "__dq_pos")).alias("__dq_at"))
     )
+    held = materialize(held, "lines")
     common = (
         held.groupBy("__dq_h1", "__dq_h2")
         .agg(F.count("*").alias("__dq_n"), F.max("doc_id").alias("__dq_last"))
         .where(F.col("__dq_n") >= min_docs)
     )
+    common = materialize(common, "common-lines")
+    if common.count() <= most_broadcast:
+        common = F.broadcast(common)
     drops = (
         held.join(common, ["__dq_h1", "__dq_h2"])
         .where(F.col("doc_id") != F.col("__dq_last"))

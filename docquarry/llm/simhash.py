@@ -81,17 +81,18 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def segment_tables(nodes: DataFrame, segments: int, bits: int) -> tuple[DataFrame, DataFrame]:
+def segment_tables(nodes: DataFrame, segments: int, bits: int, *also: str) -> tuple[DataFrame, DataFrame]:
     """Of ``nodes`` (id, fp): the table (seg, key, b) of exact segment values, and the probes
-    (seg, key, a, exact) with the ball of radius 1 around each. A pair one bit apart in a
-    segment has one value of even and one of odd parity, so only even values flip bits."""
+    (seg, key, a, exact) with the ball of radius 1 around each; both with the columns
+    ``also``. A pair one bit apart in a segment has one value of even and one of odd parity,
+    so only even values flip bits."""
     values = F.array(*(F.struct(F.lit(i).alias("seg"), segment(F.col("fp"), i, bits).alias("key")) for i in range(segments)))
-    table = nodes.select("id", F.explode(values).alias("s")).select("s.seg", "s.key", F.col("id").alias("b"))
+    table = nodes.select("id", *also, F.explode(values).alias("s")).select("s.seg", "s.key", F.col("id").alias("b"), *also)
     key = F.col("key")
     flips = F.array(*(key.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(bits)))
     ball = F.when(F.bit_count(key) % 2 == 0, F.concat(F.array(key), flips)).otherwise(F.array(key))
-    probes = table.select("seg", F.posexplode(ball).alias("flip", "key"), F.col("b").alias("a"))
-    return table, probes.select("seg", "key", "a", (F.col("flip") == 0).alias("exact"))
+    probes = table.select("seg", F.posexplode(ball).alias("flip", "key"), F.col("b").alias("a"), *also)
+    return table, probes.select("seg", "key", "a", (F.col("flip") == 0).alias("exact"), *also)
 
 
 def _matches(table: DataFrame, probes: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -158,16 +159,36 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return one.mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, segments: int = 20, crowd: int = 64) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, far: int) -> DataFrame:
+    """Of the pairs (a, b) those whose fingerprints are at most ``far`` bits apart and whose
+    shingle sets are similar enough."""
+    fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
+    near = pairs.join(fp("a"), "a").join(fp("b"), "b").where(distance(F.col("a_fp"), F.col("b_fp")) <= far).select("a", "b")
+    close = materialize(near, "close")
+    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    sets = materialize(_sets(docs, ids, shingle), "sets")
+    of = lambda k: sets.select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    alike = F.when(F.size("a_set") + F.size("b_set") == 0, F.lit(1.0)).otherwise(shared / (F.size("a_set") + F.size("b_set") - shared))
+    return materialize(close.join(of("a"), "a").join(of("b"), "b").where(alike >= similarity).select("a", "b"), "alike")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, segments: int = 20, crowd: int = 64, most_broadcast: int = 500_000
+) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: documents whose shingle sets have
     a Jaccard similarity of at least ``similarity`` are linked.
 
     A longer SimHash (``words`` * 64 bits) is cut into ``segments`` segments, whose width
     grows with the number of different texts (24 to 32 bits), so that chance matches stay a
     few per text. Texts that agree in any segment up to one bit are candidates; their
-    complete distance, then their exact similarity is verified. In a bucket of over
-    ``crowd`` texts each is compared with the least one of that bucket only; it has such a
-    bucket, with its own least text, in every segment.
+    complete distance, then their exact similarity is verified.
+
+    First each text meets the least text of every bucket that it reaches: linear, however
+    large a bucket is, and complete for buckets of one. The groups so found are known when
+    the other members of buckets up to ``crowd`` texts are met: only pairs of different groups
+    are compared. In larger buckets each text meets the least one only; it has such a bucket,
+    with its own least text, in every segment.
 
     Texts with equal shingle sets collapse to one node first. The search finds a pair of
     similarity 0.9 with a chance of over 0.99 and one of 0.8 with about 0.9 (see README).
@@ -177,26 +198,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = materialize(prints.groupBy("fp", "same").agg(F.min("doc_id").alias("id")), "nodes")
     bits = min(32, max(24, math.ceil(math.log2(max(2, nodes.count()))) + 7))
     segments = min(segments, words * (64 // bits))
-    table, probes = segment_tables(nodes, segments, bits)
-    pairs, crowded = _matches(table, probes, crowd)
-    to_least = probes.join(crowded, ["seg", "key"]).where("a <> least").select(F.least("a", "least").alias("a"), F.greatest("a", "least").alias("b"))
-    fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
     # Shingle cosine c of sets this similar is at least 2s/(1+s); the bits that differ are
     # then binomial with chance acos(c)/pi: keep up to four deviations above its mean.
     p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
     far = int(n * p + 4 * math.sqrt(n * p * (1 - p))) + 1
-    close = materialize(
-        pairs.unionByName(to_least).distinct().join(fp("a"), "a").join(fp("b"), "b")
-        .where(distance(F.col("a_fp"), F.col("b_fp")) <= far).select("a", "b"),
-        "close",
-    )
-    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    sets = materialize(_sets(docs, ids, shingle), "sets")
-    of = lambda k: sets.select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set"))
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    alike = F.when(F.size("a_set") + F.size("b_set") == 0, F.lit(1.0)).otherwise(shared / (F.size("a_set") + F.size("b_set") - shared))
-    edges = close.join(of("a"), "a").join(of("b"), "b").where(alike >= similarity).select("a", "b")
-    found = connected_components(edges).withColumnRenamed("id", "__dq_id")
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    table, probes = segment_tables(nodes, segments, bits)
+    buckets = table.groupBy("seg", "key").agg(F.min("b").alias("b"), F.count("*").alias("n"))
+    first = probes.join(buckets, ["seg", "key"]).where("a <> b").select(*pair).distinct()
+    edges = _verified(first, nodes, docs, shingle, similarity, far)
+    groups = materialize(connected_components(edges), "groups")
+
+    of = nodes.join(groups.withColumnRenamed("id", "__dq_id"), F.col("id") == F.col("__dq_id"), "left").select("id", "fp", F.coalesce("component", "id").alias("group"))
+    table, probes = segment_tables(of, segments, bits, "group")
+    rest = table.join(buckets.where(F.col("n").between(2, crowd)).select("seg", "key", F.col("b").alias("least")), ["seg", "key"]).where("b <> least")
+    rest = materialize(rest.select("seg", "key", "b", F.col("group").alias("b_group")), "rest")
+    if rest.count() <= most_broadcast:
+        rest = F.broadcast(rest)
+    other = probes.join(rest, ["seg", "key"]).where("group <> b_group and (not exact or a < b)").select(*pair).distinct()
+    more = _verified(other, nodes, docs, shingle, similarity, far)
+    found = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "__dq_id")
     labels = nodes.join(found, F.col("id") == F.col("__dq_id"), "left").select("fp", "same", F.coalesce("component", "id").alias("component_id"))
     return prints.join(labels, ["fp", "same"]).select("doc_id", "component_id")
 

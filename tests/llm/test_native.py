@@ -118,6 +118,8 @@ def test_line_dedup(spark):
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect())
     assert got == Counter((i, *want[i, t]) for i, t in rows)
     assert plans_no_python(out)
+    shuffled = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most_broadcast=0)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in shuffled.collect()) == got
 
 
 def test_line_dedup_empty(spark):
