@@ -159,12 +159,15 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return one.mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, far: int) -> DataFrame:
-    """Of the pairs (a, b) those whose fingerprints are at most ``far`` bits apart and whose
-    shingle sets are similar enough."""
+def _near(pairs: DataFrame, nodes: DataFrame, far: int) -> DataFrame:
+    """Of the pairs (a, b) those whose fingerprints are at most ``far`` bits apart."""
     fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
-    near = pairs.join(fp("a"), "a").join(fp("b"), "b").where(distance(F.col("a_fp"), F.col("b_fp")) <= far).select("a", "b")
-    close = materialize(near, "close")
+    return pairs.join(fp("a"), "a").join(fp("b"), "b").where(distance(F.col("a_fp"), F.col("b_fp")) <= far).select("a", "b")
+
+
+def _alike(close: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose shingle sets are similar enough."""
+    close = materialize(close, "close")
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
     sets = materialize(_sets(docs, ids, shingle), "sets")
     of = lambda k: sets.select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set"))
@@ -174,7 +177,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, segments: int = 20, crowd: int = 64, most_broadcast: int = 500_000
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, segments: int = 20, crowd: int = 1024, most_broadcast: int = 500_000
 ) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: documents whose shingle sets have
     a Jaccard similarity of at least ``similarity`` are linked.
@@ -187,8 +190,10 @@ def near_duplicates(
     First each text meets the least text of every bucket that it reaches: linear, however
     large a bucket is, and complete for buckets of one. The groups so found are known when
     the other members of buckets up to ``crowd`` texts are met: only pairs of different groups
-    are compared. In larger buckets each text meets the least one only; it has such a bucket,
-    with its own least text, in every segment.
+    are compared, at most ``crowd`` for a text and bucket, and their complete distance is
+    verified where they meet, so that only close pairs leave the join. In larger buckets each
+    text meets the least one only; it has such a bucket, with its own least text, in every
+    segment.
 
     Texts with equal shingle sets collapse to one node first. The search finds a pair of
     similarity 0.9 with a chance of over 0.99 and one of 0.8 with about 0.9 (see README).
@@ -207,17 +212,22 @@ def near_duplicates(
     table, probes = segment_tables(nodes, segments, bits)
     buckets = table.groupBy("seg", "key").agg(F.min("b").alias("b"), F.count("*").alias("n"))
     first = probes.join(buckets, ["seg", "key"]).where("a <> b").select(*pair).distinct()
-    edges = _verified(first, nodes, docs, shingle, similarity, far)
+    edges = _alike(_near(first, nodes, far), docs, shingle, similarity)
     groups = materialize(connected_components(edges), "groups")
 
     of = nodes.join(groups.withColumnRenamed("id", "__dq_id"), F.col("id") == F.col("__dq_id"), "left").select("id", "fp", F.coalesce("component", "id").alias("group"))
     table, probes = segment_tables(of, segments, bits, "group")
     rest = table.join(buckets.where(F.col("n").between(2, crowd)).select("seg", "key", F.col("b").alias("least")), ["seg", "key"]).where("b <> least")
-    rest = materialize(rest.select("seg", "key", "b", F.col("group").alias("b_group")), "rest")
-    if rest.count() <= most_broadcast:
-        rest = F.broadcast(rest)
-    other = probes.join(rest, ["seg", "key"]).where("group <> b_group and (not exact or a < b)").select(*pair).distinct()
-    more = _verified(other, nodes, docs, shingle, similarity, far)
+    rest = materialize(rest.select("seg", "key", "b", "least", F.col("group").alias("b_group")), "rest")
+    # Only probes that reach such a bucket carry their fingerprint on.
+    keys = rest.select("seg", "key").distinct()
+    keys = F.broadcast(keys) if rest.count() <= most_broadcast else keys
+    reach = materialize(probes.join(keys, ["seg", "key"], "left_semi"), "reach")
+    fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
+    apart = sum((F.bit_count(F.col("a_fp")[i].bitwiseXOR(F.col("b_fp")[i])) for i in range(words)), F.lit(0))
+    meet = F.expr("group <> b_group and (not exact or a < b and a <> least)") & (apart <= far)
+    other = reach.join(fp("a"), "a").join(rest.join(fp("b"), "b"), ["seg", "key"]).where(meet).select(*pair).distinct()
+    more = _alike(other, docs, shingle, similarity)
     found = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "__dq_id")
     labels = nodes.join(found, F.col("id") == F.col("__dq_id"), "left").select("fp", "same", F.coalesce("component", "id").alias("component_id"))
     return prints.join(labels, ["fp", "same"]).select("doc_id", "component_id")
