@@ -176,16 +176,31 @@ def _alike(close: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
     return materialize(close.join(of("a"), "a").join(of("b"), "b").where(alike >= similarity).select("a", "b"), "alike")
 
 
+def differing(similarity: float) -> float:
+    """The chance that a bit differs between sets of this Jaccard similarity, at most: their
+    cosine c is at least 2s/(1+s), and the chance is acos(c)/pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def segments_for(bits: int, similarity: float, miss: float) -> int:
+    """How many segments of so many bits it takes until a pair of this similarity differs by
+    more than one bit in all of them with a chance of at most ``miss`` (binomial model)."""
+    p = differing(similarity)
+    found = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return math.ceil(math.log(miss) / math.log1p(-found))
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, segments: int = 20, crowd: int = 1024, most_broadcast: int = 500_000
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.05, bits: int | None = None, crowd: int = 1024, most_broadcast: int = 500_000
 ) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: documents whose shingle sets have
     a Jaccard similarity of at least ``similarity`` are linked.
 
-    A longer SimHash (``words`` * 64 bits) is cut into ``segments`` segments, whose width
-    grows with the number of different texts (24 to 32 bits), so that chance matches stay a
-    few per text. Texts that agree in any segment up to one bit are candidates; their
-    complete distance, then their exact similarity is verified.
+    A longer SimHash is cut into segments, whose width (``bits``) grows with the number of
+    texts (24 to 32 bits), so that chance matches stay a few per text. The number of segments
+    grows with the width, so that at every size a pair of the least ``similarity`` is missed
+    with a chance of at most ``miss``. Texts that agree in any segment up to one bit are
+    candidates; their complete distance, then their exact similarity is verified.
 
     First each text meets the least text of every bucket that it reaches: linear, however
     large a bucket is, and complete for buckets of one. The groups so found are known when
@@ -195,17 +210,16 @@ def near_duplicates(
     text meets the least one only; it has such a bucket, with its own least text, in every
     segment.
 
-    Texts with equal shingle sets collapse to one node first. The search finds a pair of
-    similarity 0.9 with a chance of over 0.99 and one of 0.8 with about 0.9 (see README).
+    Texts with equal shingle sets collapse to one node first.
     Null and empty texts are equal and form one group. Null doc_id: left out here.
     """
+    bits = bits or min(32, max(24, math.ceil(math.log2(max(2, docs.where("doc_id is not null").count()))) + 7))
+    segments = segments_for(bits, similarity, miss)
+    words = math.ceil(segments / (64 // bits))
     prints = materialize(fingerprints(docs, shingle, words).where("doc_id is not null"), "prints")
     nodes = materialize(prints.groupBy("fp", "same").agg(F.min("doc_id").alias("id")), "nodes")
-    bits = min(32, max(24, math.ceil(math.log2(max(2, nodes.count()))) + 7))
-    segments = min(segments, words * (64 // bits))
-    # Shingle cosine c of sets this similar is at least 2s/(1+s); the bits that differ are
-    # then binomial with chance acos(c)/pi: keep up to four deviations above its mean.
-    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
+    # The bits that differ are binomial: keep up to four deviations above the mean.
+    p, n = differing(similarity), 64 * words
     far = int(n * p + 4 * math.sqrt(n * p * (1 - p))) + 1
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

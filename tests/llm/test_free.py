@@ -175,6 +175,33 @@ def test_pack_in_many_shards(spark):
     assert check_packing(out) < 0.06 * sum(p.length for p in out)  # whole pieces: no plan does better
 
 
+def test_segments_hold_the_miss_chance():
+    p = math.acos(1.6 / 1.8) / math.pi
+    for bits in range(24, 33):
+        each = 1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)
+        n = simhash.segments_for(bits, 0.8, 0.05)
+        assert each**n <= 0.05 < each ** (n - 1)
+
+
+def test_near_duplicates_at_the_greatest_width(spark):
+    rows, sets = [], {}
+    for i in range(100):  # pairs just over the least similarity
+        w = [f"w{i}_{k}" for k in range(404)]
+        v = list(w)
+        for k in range(10, 136, 18):
+            v[k] = "changed"
+        k = 200
+        while jaccard(set(shingles(" ".join(w), 5)), set(shingles(" ".join([*v[:k], f"x{k}", *v[k + 1 :]]), 5))) >= 0.8:
+            v[k] = f"x{k}"
+            k += 1
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        sets[i] = jaccard(set(shingles(rows[-2][1], 5)), set(shingles(rows[-1][1], 5)))
+    assert all(0.8 <= x < 0.81 for x in sets.values())
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bits=32).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(100))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(100)) >= 88  # 95 expected; 20 segments find 51
+
+
 # --- token counts
 
 
