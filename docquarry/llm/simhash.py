@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -54,9 +55,9 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp array<long>, same long): ``same`` is equal for texts with equal sets of
-    shingles."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp array<long>, same binary). With ``distinct`` a repeated shingle counts
+    once, and ``same`` is a 128-bit digest of the set of shingles; otherwise it is null."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -64,11 +65,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
             fps, same = [], []
             for text in b.column(1):
                 h = shingle_hashes(text.as_py(), shingle)
+                if distinct:
+                    h = np.unique(h)
                 fps.append(fingerprint(h, words))
-                same.append(int(np.unique(h).sum(dtype=np.uint64).view(np.int64)) if words > 1 else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(same, pa.int64())], ["doc_id", "fp", "same"])
+                same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if distinct else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(same, pa.binary())], ["doc_id", "fp", "same"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp array<long>, same long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp array<long>, same binary")
 
 
 def segment(fp: Column, index: int, bits: int) -> Column:
@@ -210,14 +213,15 @@ def near_duplicates(
     text meets the least one only; it has such a bucket, with its own least text, in every
     segment.
 
-    Texts with equal shingle sets collapse to one node first.
+    Fingerprints are of the distinct shingles, as the similarity is. Texts with equal shingle
+    sets (by a 128-bit digest) collapse to one node first.
     Null and empty texts are equal and form one group. Null doc_id: left out here.
     """
     bits = bits or min(32, max(24, math.ceil(math.log2(max(2, docs.where("doc_id is not null").count()))) + 7))
     segments = segments_for(bits, similarity, miss)
     words = math.ceil(segments / (64 // bits))
-    prints = materialize(fingerprints(docs, shingle, words).where("doc_id is not null"), "prints")
-    nodes = materialize(prints.groupBy("fp", "same").agg(F.min("doc_id").alias("id")), "nodes")
+    prints = materialize(fingerprints(docs, shingle, words, distinct=True).where("doc_id is not null"), "prints")
+    nodes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "nodes")
     # The bits that differ are binomial: keep up to four deviations above the mean.
     p, n = differing(similarity), 64 * words
     far = int(n * p + 4 * math.sqrt(n * p * (1 - p))) + 1
@@ -243,8 +247,8 @@ def near_duplicates(
     other = reach.join(fp("a"), "a").join(rest.join(fp("b"), "b"), ["seg", "key"]).where(meet).select(*pair).distinct()
     more = _alike(other, docs, shingle, similarity)
     found = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "__dq_id")
-    labels = nodes.join(found, F.col("id") == F.col("__dq_id"), "left").select("fp", "same", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(labels, ["fp", "same"]).select("doc_id", "component_id")
+    labels = nodes.join(found, F.col("id") == F.col("__dq_id"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(labels, "same").select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:

@@ -202,6 +202,18 @@ def test_near_duplicates_at_the_greatest_width(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(100)) >= 88  # 95 expected; 20 segments find 51
 
 
+def test_near_duplicates_that_differ_in_repeats(spark):
+    rows = []
+    for i in range(20):
+        w = [f"w{i}_{k}" for k in range(900)]
+        phrase = [f"p{i}_{k}" for k in range(10)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + phrase * 20)), (3 * i + 2, " ".join(w + phrase * 9))]
+    a, b = (set(shingles(t, 5)) for _, t in rows[:2])
+    assert 0.97 < jaccard(a, b) < 1 and set(shingles(rows[2][1], 5)) == b
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 3 * 3 for i in range(60)}
+
+
 # --- token counts
 
 
