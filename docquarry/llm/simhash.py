@@ -206,12 +206,13 @@ def near_duplicates(
     candidates; their complete distance, then their exact similarity is verified.
 
     First each text meets the least text of every bucket that it reaches: linear, however
-    large a bucket is, and complete for buckets of one. The groups so found are known when
-    the other members of buckets up to ``crowd`` texts are met: only pairs of different groups
-    are compared, at most ``crowd`` for a text and bucket, and their complete distance is
-    verified where they meet, so that only close pairs leave the join. In larger buckets each
-    text meets the least one only; it has such a bucket, with its own least text, in every
-    segment.
+    large a bucket is. The groups so found are known when each text meets all other members
+    of every bucket that it reaches: only pairs of different groups are compared, and their
+    complete distance is verified where they meet, so that only close pairs leave the join.
+    In a bucket the members of the least text's group are one side, the others another:
+    texts of that group meet the others only, so a bucket of n texts, k of them outside the
+    group, costs n * k comparisons. A side of over ``crowd`` members is compared in blocks of
+    about so many, each a join key of its own, so no task has to take a whole bucket.
 
     Fingerprints are of the distinct shingles, as the similarity is. Texts with equal shingle
     sets (by a 128-bit digest) collapse to one node first.
@@ -235,16 +236,26 @@ def near_duplicates(
 
     of = nodes.join(groups.withColumnRenamed("id", "__dq_id"), F.col("id") == F.col("__dq_id"), "left").select("id", "fp", F.coalesce("component", "id").alias("group"))
     table, probes = segment_tables(of, segments, bits, "group")
-    rest = table.join(buckets.where(F.col("n").between(2, crowd)).select("seg", "key", F.col("b").alias("least")), ["seg", "key"]).where("b <> least")
-    rest = materialize(rest.select("seg", "key", "b", "least", F.col("group").alias("b_group")), "rest")
-    # Only probes that reach such a bucket carry their fingerprint on.
-    keys = rest.select("seg", "key").distinct()
-    keys = F.broadcast(keys) if rest.count() <= most_broadcast else keys
-    reach = materialize(probes.join(keys, ["seg", "key"], "left_semi"), "reach")
+    shared = table.join(buckets.where("n > 1").select("seg", "key", F.col("b").alias("least")), ["seg", "key"])
+    lead = of.select(F.col("id").alias("least"), F.col("group").alias("lead"))
+    rest = materialize(shared.where("b <> least").join(lead, "least").select("seg", "key", "b", "least", F.col("group").alias("b_group"), "lead"), "rest")
+    aside = F.col("b_group") != F.col("lead")
+    blocks = lambda n: F.ceil(n / F.lit(crowd)).cast("int")
+    sides = rest.groupBy("seg", "key", "lead").agg(blocks(F.count_if(aside)).alias("others"), blocks(F.count_if(~aside)).alias("own"))
+    sides = materialize(sides, "sides")
+    # Only probes that reach such a bucket, and have someone to meet, carry their fingerprint on.
+    keys = F.broadcast(sides) if sides.count() <= most_broadcast else sides
+    every = lambda other, n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(other).alias("other"), i.alias("block")))
+    goals = F.concat(every(True, F.col("others")), F.when(F.col("group") == F.col("lead"), F.array().cast("array<struct<other:boolean,block:int>>")).otherwise(every(False, F.col("own"))))
+    reach = probes.join(keys, ["seg", "key"]).select("seg", "key", "a", "exact", "group", F.explode(goals).alias("goal"))
+    reach = materialize(reach.select("seg", "key", "a", "exact", "group", "goal.other", "goal.block"), "reach")
+    placed = rest.join(keys.drop("lead"), ["seg", "key"]).withColumn("other", aside)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("b"), F.when(aside, F.col("others")).otherwise(F.col("own"))).cast("int"))
+    placed = placed.select("seg", "key", "b", "least", "b_group", "other", "block")
     fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
     apart = sum((F.bit_count(F.col("a_fp")[i].bitwiseXOR(F.col("b_fp")[i])) for i in range(words)), F.lit(0))
     meet = F.expr("group <> b_group and (not exact or a < b and a <> least)") & (apart <= far)
-    other = reach.join(fp("a"), "a").join(rest.join(fp("b"), "b"), ["seg", "key"]).where(meet).select(*pair).distinct()
+    other = reach.join(fp("a"), "a").join(placed.join(fp("b"), "b"), ["seg", "key", "other", "block"]).where(meet).select(*pair).distinct()
     more = _alike(other, docs, shingle, similarity)
     found = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "__dq_id")
     labels = nodes.join(found, F.col("id") == F.col("__dq_id"), "left").select("same", F.coalesce("component", "id").alias("component_id"))

@@ -214,6 +214,27 @@ def test_near_duplicates_that_differ_in_repeats(spark):
     assert got == {i: i // 3 * 3 for i in range(60)}
 
 
+def test_near_duplicates_in_a_crowded_bucket(spark):
+    """A family around one text: each variant is under 0.8 to the base and to other variants,
+    but has one near copy, which only a comparison within the buckets finds."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(40):
+        v = list(base)
+        for k in rng.sample(range(0, 400, 5), 12):
+            v[k] = f"v{i}_{k}"
+        u = list(v)
+        u[rng.randrange(1, 400)] = f"u{i}"
+        rows += [(1 + i, " ".join(v)), (101 + i, " ".join(u))]
+    sets = {i: set(shingles(t, 5)) for i, t in rows}
+    want = linked(sets, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert want == {0: 0} | {i: i for i in range(1, 41)} | {100 + i: i for i in range(1, 41)}
+    for crowd in (1024, 4):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()}
+        assert got == want
+
+
 # --- token counts
 
 
