@@ -50,8 +50,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     shingles of window and item, lower-cased. A window of at least ``similarity`` holds at
     least ceil(s (n + m) / (1 + s)) of the item's n shingles among its m, so documents are
     first reduced to shingles that some item has (exact, loses nothing), and windows to
-    those that hold enough of them; of an item's windows in a document the one with most is
-    judged (ties: the first). Windows then meet items of the same text by multi-index
+    those that hold enough of them; of an item's windows in a document the one with the greatest
+    similarity is judged (ties: the first). Windows then meet items of the same text by multi-index
     Hamming blocks of 64-bit SimHashes: the radius is so wide (over four deviations above
     the mean at the least similarity) that it serves as a guarantee, and selectivity comes
     from the shingles. Last, the exact similarity verifies.
@@ -91,10 +91,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     enough = F.transform("ps", lambda p, j: F.when(F.get("ps", j + F.col("need") - 1) < p + F.col("m"), F.least(p, F.col("held") - F.col("m"))))
     grouped = grouped.withColumn("starts", F.array_distinct(F.array_compact(enough))).where(F.size("starts") > 0)
     inside = lambda s: F.filter("at", lambda x: (x.p >= s) & (x.p < s + F.col("m")))
-    best = F.array_max(F.transform("starts", lambda s: F.struct(F.size(inside(s)).alias("k"), (-s).alias("s"))))
-    windows = grouped.withColumn("start", -best.s).withColumn("in", inside(F.col("start")))
-    per = F.transform(F.array_distinct(F.transform("in", lambda x: F.struct(x.h.alias("h"), x.c.alias("c")))), lambda y: F.least(F.size(F.filter("in", lambda x: x.h == y.h)).cast("long"), y.c))
-    windows = windows.withColumn("shared", F.aggregate(per, F.lit(0).cast("long"), lambda s, x: s + x))
+    # Of each hash, occurrences in the window count up to the item's: the similarity grows with
+    # their sum, as the sizes of window and item are fixed.
+    hashes = lambda w: F.array_distinct(F.transform(w, lambda x: F.struct(x.h.alias("h"), x.c.alias("c"))))
+    per = lambda w: F.transform(hashes(w), lambda y: F.least(F.size(F.filter(w, lambda x: x.h == y.h)).cast("long"), y.c))
+    each = F.transform(F.transform("starts", lambda s: F.struct(s.alias("s"), inside(s).alias("w"))), lambda x: F.struct(per(x.w).alias("per"), (-x.s).alias("s")))
+    best = F.array_max(F.transform(each, lambda x: F.struct(F.aggregate(x.per, F.lit(0).cast("long"), lambda s, n: s + n).alias("shared"), x.s.alias("s"))))
+    windows = grouped.withColumn("best", best).withColumn("start", -F.col("best.s")).withColumn("shared", F.col("best.shared"))
     windows = materialize(windows.select("doc_id", "mark", "item_id", "size", "n", "m", "start", "shared"), "windows")
 
     keys = small(windows)

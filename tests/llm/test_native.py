@@ -260,6 +260,20 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in shuffled.collect()} == got
 
 
+def test_decontamination_takes_the_most_similar_window(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"s{rng.randrange(10_000)}" for _ in range(n)]
+    item = ["ha"] * 6 + say(30)  # repeats a shingle
+    near = list(item)
+    near[20] = "changed"
+    docs = [(1, say(20) + ["ha"] * 60 + say(20) + item + say(9)), (2, say(5) + ["ha"] * 60 + say(20) + near), (3, ["ha"] * 200), (4, say(50))]
+    docs, items = [(i, " ".join(w)) for i, w in docs], [(7, " ".join(item))]
+    out = decontaminate.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), similarity=0.7).collect()
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in out}
+    assert got == matches_plain(docs, items, 0.7) and set(got) == {(1, 7), (2, 7)}
+    assert got[1, 7] == 1 and {r.doc_id: r.start for r in out}[1] == 100
+
+
 def test_decontamination_empty(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.find_matches(docs, items).count() == 1
