@@ -21,12 +21,21 @@ class Automaton:
     (from node 1). When a character has no edge, the node's failure link leads to the node
     for what remains after greedily popping pieces, and ``popped`` says how many pieces
     that pops: counts alone are kept, no piece is ever built.
+
+    With ``whole`` every word has a length: the word mark alone is a piece, and a character
+    that no piece begins with counts as its UTF-8 bytes, each a piece.
     """
 
-    def __init__(self, first: Iterable[str], later: Iterable[str]):
+    def __init__(self, first: Iterable[str], later: Iterable[str], whole: bool = False):
+        if whole:
+            first, later = list(first), list(later)
+            lone = set("".join(first)).union(*later).difference(later)
+            self.whole, worth = True, {c: len(c.encode()) for c in lone}
+        else:
+            self.whole, worth = False, {}
         self.edges: list[dict[str, int]] = [{}, {}]
         ends = [False, False]
-        for root, pieces in ((0, first), (1, later)):
+        for root, pieces in ((0, first), (1, [*later, *worth])):
             for piece in pieces:
                 at = root
                 for c in piece:
@@ -38,13 +47,17 @@ class Automaton:
                 if piece:
                     ends[at] = True
         self.failure, self.popped = [-1] * len(ends), [0] * len(ends)
+        if whole:
+            self.failure[0] = self.popped[0] = 1
+            for c in worth:
+                self.popped[self.edges[1][c]] = worth[c]
         todo = deque([0, 1])
         while todo:
             v = todo.popleft()
             for c, u in self.edges[v].items():
                 todo.append(u)
                 if ends[u]:
-                    self.failure[u], self.popped[u] = 1, 1
+                    self.failure[u], self.popped[u] = 1, self.popped[u] or 1
                     continue
                 z, count = self.failure[v], self.popped[v]
                 while z >= 0 and c not in self.edges[z]:
@@ -60,10 +73,15 @@ class Automaton:
         for c in word:
             while (to := edges[at].get(c, -1)) < 0:
                 if failure[at] < 0:
-                    return 0
+                    break
                 count += popped[at]
                 at = failure[at]
-            at = to
+            if to >= 0:
+                at = to
+            elif self.whole:
+                count += len(c.encode())
+            else:
+                return 0
         while at != 1:
             if failure[at] < 0:
                 return 0
@@ -82,16 +100,17 @@ def vocabulary(model_file: str) -> tuple[list[str], list[str]]:
     return [p[1:] for p in pieces if p.startswith(MARK) and p != MARK], [p for p in pieces if MARK not in p]
 
 
-def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, whole: bool = False) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) of every row: greedy longest-match pieces of
-    each word (a word that cannot be matched is one unknown token).
+    each word. A word that cannot be matched is one unknown token; with ``whole`` there is
+    none: the word mark alone and the bytes of a character are pieces too.
 
     Null or empty text: all 0. A word is matched once per task, in a table of bounded size;
     repeated rows count alike. Very long words cost time linear in their length."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        automaton = Automaton(*vocabulary(model_file))
+        automaton = Automaton(*vocabulary(model_file), whole)
         known: dict[bytes, int] = {}
         for b in batches:
             rows: list[list[int]] = [[], [], []]

@@ -257,6 +257,35 @@ def test_automaton_is_greedy_longest_match(first, later, found):
         assert automaton.length(w) == greedy(w, first, later)
 
 
+def greedy_whole(word, first, later):
+    """The mark and the word; a character without a piece is its bytes."""
+    end = next((e for e in range(len(word), 0, -1) if word[:e] in first), 0)
+    at, n = end, 1
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in later), None)
+        at, n = end or at + 1, n + (1 if end else len(word[at].encode()))
+    return n
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abñ", min_size=1, max_size=5), max_size=12), st.sets(st.text("abñ", min_size=1, max_size=5), max_size=12), st.lists(st.text("abñ中", min_size=1, max_size=14), max_size=10))
+def test_whole_automaton_counts_every_word(first, later, found):
+    automaton = wordpiece.Automaton(first, later, whole=True)
+    for w in found:
+        assert automaton.length(w) == greedy_whole(w, first, later)
+
+
+def test_op6_counts_words_without_a_marked_piece(spark, tmp_path):
+    model = Q.tokenizer_path("piece_bpe_32k.model")
+    first, later = map(set, wordpiece.vocabulary(model))
+    run = "ñ" + "中文字" * 2000 + "\U00013000"
+    rows = [(1, "ñado"), (2, run), (3, "the ñado, ß")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in Q.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert got[1] == (1, 3, 0)  # the mark, ñ, ado
+    assert got == {i: (len(words(t)), sum(greedy_whole(w, first, later) for w in words(t)), 0) for i, t in rows} and got[2][1] > 4000
+
+
 def test_token_counts(spark):
     rows = list(enumerate(texts(40, 11))) + [(1000 + i, t) for i, t in enumerate(HARD)] + [(None, "a b"), (1, "again")]
     model = Q.tokenizer_path("piece_bpe_32k.model")
