@@ -49,20 +49,49 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
+def event_log(messages: DataFrame) -> DataFrame:
+    """The log (conv_id, seq, message, kind, role, text) of a chat in which ``messages``
+    (conv_id, message, role, text; messages numbered from 1) came about, for replays and tests:
+    ``fold_events`` gives the messages back.
+
+    Texts are streamed in three deltas. Of the assistant's messages about a third (by hash)
+    were first drafted, with a reply after them, and then regenerated, which voids both; half
+    of all others were first typed otherwise, and then edited. Null texts are empty, null
+    roles stay null."""
+    text = F.coalesce("text", F.lit(""))
+    step = F.ceil(F.char_length(text) / 3).cast("int")
+    part = lambda i: F.substring(text, F.lit(i) * step + 1, step)
+    pick = lambda n: F.pmod(F.xxhash64("conv_id", "message"), F.lit(n)) == 0
+    event = lambda i, kind, what, message=F.col("message"): F.struct(F.lit(i).alias("i"), message.alias("message"), kind.alias("kind"), F.col("role").alias("role"), what.alias("text"))
+    delta, draft = F.lit("delta"), F.upper(F.concat(part(1), F.lit("draft")))
+    again = (F.col("role") == "assistant") & pick(3)
+    edited = ~again & pick(2)
+    rest = F.array(event(3, delta, part(1)), event(4, delta, part(2)))
+    events = (
+        F.when(again, F.concat(F.array(event(0, delta, draft), event(1, delta, F.lit("a reply"), F.col("message") + 1), event(2, F.lit("regenerate"), part(0))), rest))
+        .when(edited, F.concat(F.array(event(0, delta, draft), event(2, F.lit("edit"), part(0))), rest))
+        .otherwise(F.concat(F.array(event(2, delta, part(0))), rest))
+    )
+    log = messages.select("conv_id", (F.col("message") * 8).alias("at"), F.explode(events).alias("e"))
+    return log.select("conv_id", (F.col("at") + F.col("e.i")).alias("seq"), "e.message", "e.kind", "e.role", "e.text")
+
+
 def render(messages: DataFrame) -> DataFrame:
     """One row per conversation: ``formatted`` and ``loss_spans``, an array of (start, length)
     in code points, counted from 0, that covers exactly the (escaped) assistant texts.
 
     Template, for each message in order: start mark, role, line feed, escaped text, end
     mark and line feed. The escape is reversible, so texts that hold control strings come
-    back whole (``parse``). Null roles render as an empty role.
+    back whole (``parse``). Null roles render as an empty role, null texts as empty. Messages
+    are ordered by ``message``, those that repeat a number by their text; null comes first.
+    Null conv_id: a conversation of its own. Other columns are dropped. No messages: no rows.
     """
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(ESC + "2"))
     shown = messages.select(
         "conv_id", F.col("message").alias("m"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"),
         escape(F.coalesce("text", F.lit(""))).alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss"),
     ).withColumns({"h": F.char_length("head").cast("long"), "b": F.char_length("body").cast("long")})
-    order = Window.partitionBy("conv_id").orderBy(F.col("m").asc_nulls_first())
+    order = Window.partitionBy("conv_id").orderBy(F.col("m").asc_nulls_first(), "head", "body")
     before = F.coalesce(F.sum(F.col("h") + F.col("b") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = shown.withColumn("at", before + F.col("h"))
     turns = F.sort_array(F.collect_list(F.struct("at", F.concat("head", "body", F.lit(END)).alias("shown"), "b", "loss")))
@@ -87,5 +116,5 @@ def parse(formatted: Column) -> Column:
 
 def chat_format(events: DataFrame) -> DataFrame:
     """``render(fold_events(events))``. Empty logs give no rows; a null conv_id is a
-    conversation of its own."""
+    conversation of its own. Columns other than those of the log are dropped."""
     return render(fold_events(events))

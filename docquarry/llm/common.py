@@ -3,7 +3,8 @@
 Conventions that hold for every operator here:
 
 * a column that an operator produces replaces an input column of the same name; all other
-  input columns pass through; helper columns are named ``__dq_*``;
+  input columns pass through; helper columns are named ``__dq_*``, and input columns with such
+  names are set aside (``apart``);
 * words are maximal runs of characters other than space and U+0009 to U+000D;
 * lower-casing changes A-Z only.
 """
@@ -26,11 +27,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a temporary folder of this machine is used, and
-    noted in the session so that later calls find it again.
+    Only where it is unset and driver and executors are one process (``local[...]``, as in
+    tests) a temporary folder of this machine is used, and noted in the session so that
+    later calls find it again. On a cluster an unset folder is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.docquarry.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.docquarry.checkpoint.dir", found)
     return found.rstrip("/")
@@ -73,6 +77,8 @@ def put(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with input columns whose names begin like those of helper columns renamed, and
+    how to rename them back."""
+    taken = {c: f"__in_{i}_{c}" for i, c in enumerate(df.columns) if c.lower().startswith("__dq_")}
+    return df.withColumnsRenamed(taken), {v: k for k, v in taken.items()}

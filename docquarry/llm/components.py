@@ -15,11 +15,12 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b), component being the least
     reachable id. Nodes without an edge do not appear; self-loops and nulls are ignored;
     repeated edges count once. Rows stay linear in the edges; each round is written to the
-    shared folder, so no lineage builds up."""
+    shared folder, so no lineage builds up. Rounds go on until nothing moves; their number
+    grows with the logarithm of the nodes."""
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components"
     )
@@ -27,7 +28,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     before = sign(now)
     if not before[0]:
         return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Every larger neighbour of u moves to the least of u's neighbourhood ...
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, lower_ascii, materialize, put
+from .common import SPACE_CHARS, apart, lower_ascii, materialize, put
 
 
 def line_key(line: Column) -> Column:
@@ -30,8 +30,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, most_bro
 
     Null or empty text: one empty line, nothing dropped, text ''. Null doc_id: passes
     unchanged and counts for no line. Repeated rows count as one document and are treated
-    alike. Ties: none, since a doc_id is either the largest or not.
+    alike. Ties: none, since a doc_id is either the largest or not. Empty table: no rows. Other
+    columns pass through; columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
+    docs, back = apart(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = put(docs, text=text, __dq_mark=F.xxhash64(text))
     lines = base.where("doc_id is not null").select(
@@ -69,4 +71,4 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, most_bro
         n_dropped=F.coalesce(F.size("__dq_drop"), F.lit(0)).cast("long"),
     )
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return out.select(*(F.col(f"`{c}`") for c in names), "n_lines", "n_dropped")
+    return out.select(*(F.col(f"`{c}`").alias(back.get(c, c)) for c in names), "n_lines", "n_dropped")

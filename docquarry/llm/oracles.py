@@ -61,14 +61,6 @@ _LONG = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS feature, {_featu
 _SLACK = " ".join(f"WHEN '{k}' THEN {s}" for k, (_, s) in quality.FEATURES.items())
 
 
-def _fences(keys: str) -> str:
-    by = f"{keys}, feature" if keys else "feature"
-    return f"""(WITH m AS (SELECT {by}, bucket, sum(n) AS n FROM k GROUP BY {by}, bucket),
-      r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM m),
-      q AS (SELECT {by}, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS total FROM r GROUP BY {by})
-      SELECT {by}, total, q3 + greatest((q3 - q1) * {quality.FENCE}, CASE feature {_SLACK} END) AS fence FROM q)"""
-
-
 OP3 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {words("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS lines FROM d),
@@ -80,10 +72,19 @@ f AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(l
   len(lines)::BIGINT AS n_lines, len([1 for j in range(1, len(ws)) if ws[j] = ws[j + 1]])::BIGINT AS n_stutter FROM w LEFT JOIN r USING (rid)),
 l AS ({_LONG}),
 k AS (SELECT lang, source, feature, {_bucket("v")} AS bucket, count(*) AS n FROM l GROUP BY ALL),
-own AS {_fences("lang, source")}, per_lang AS {_fences("lang")}, every AS {_fences("")},
-v AS (SELECT l.rid, bool_or(l.v > CASE WHEN o.total >= 100 THEN o.fence WHEN g.total >= 100 THEN g.fence ELSE e.fence END) AS above
-  FROM l JOIN own o ON o.lang IS NOT DISTINCT FROM l.lang AND o.source IS NOT DISTINCT FROM l.source AND o.feature = l.feature
-  JOIN per_lang g ON g.lang IS NOT DISTINCT FROM l.lang AND g.feature = l.feature JOIN every e ON e.feature = l.feature GROUP BY l.rid),
+e AS (SELECT feature, bucket, sum(n)::HUGEINT AS n FROM k GROUP BY ALL),
+et AS (SELECT feature, sum(n)::HUGEINT AS total FROM e GROUP BY ALL),
+lf AS (SELECT DISTINCT lang, feature FROM k), gf AS (SELECT DISTINCT lang, source, feature FROM k),
+g AS (SELECT lang, feature, bucket, sum(n)::HUGEINT AS n FROM (
+  SELECT lang, feature, bucket, n * total AS n FROM k JOIN et USING (feature) UNION ALL SELECT lang, feature, bucket, {quality.PRIOR} * n FROM lf JOIN e USING (feature)) GROUP BY ALL),
+gt AS (SELECT lang, feature, sum(n)::HUGEINT AS total FROM g GROUP BY ALL),
+o AS (SELECT lang, source, feature, bucket, sum(n)::HUGEINT AS n FROM (
+  SELECT k.lang, source, k.feature, bucket, n * total AS n FROM k JOIN gt ON gt.lang IS NOT DISTINCT FROM k.lang AND gt.feature = k.feature
+  UNION ALL SELECT gf.lang, source, gf.feature, bucket, {quality.PRIOR} * n FROM gf JOIN g ON g.lang IS NOT DISTINCT FROM gf.lang AND g.feature = gf.feature) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY lang, source, feature) AS total FROM o),
+q AS (SELECT lang, source, feature, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM u GROUP BY ALL),
+v AS (SELECT l.rid, bool_or(l.v > q3 + greatest((q3 - q1) * {quality.FENCE}, CASE l.feature {_SLACK} END)) AS above
+  FROM l JOIN q ON q.lang IS NOT DISTINCT FROM l.lang AND q.source IS NOT DISTINCT FROM l.source AND q.feature = l.feature GROUP BY l.rid),
 b AS (SELECT f.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM b JOIN v USING (rid)
 """

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize
 
 CAPACITY = 4096
 UNIT = 16  # tokens per unit of the length histogram
@@ -87,7 +87,6 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capa
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, parts) of every document: its token
     ids and the end id, cut at multiples of ``capacity``; ``parts`` has the digests of a last
     piece's parts, by which ``pack`` may cut it. One pass; only digests leave it."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import os
@@ -129,11 +128,11 @@ def best_pattern(prices: np.ndarray, capacity: int) -> np.ndarray:
     return taken
 
 
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+def column_generation(demand: np.ndarray, capacity: int, rounds: int = 100_000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, covering ``demand[s-1]`` pieces of each size s
     exactly. The linear program's columns are priced by ``best_pattern``; its solution is
     rounded down; what is left is packed from the largest on, each sequence filled as far as
-    the remaining sizes can (``best_fill``)."""
+    the remaining sizes can (``best_fill``). A program not solved in ``rounds`` steps fails."""
     sizes = np.flatnonzero(demand) + 1
     if not len(sizes):
         return []
@@ -168,6 +167,8 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 3000) ->
         others = np.arange(m) != out
         inverse[others] -= np.outer(step[others], inverse[out])
         basis[:, out], cost[out] = column, price
+    else:
+        raise RuntimeError("the linear program did not come to an end")
     left, used = demand[sizes - 1].astype(np.int64), []
 
     def take(pattern: np.ndarray, most: int) -> None:

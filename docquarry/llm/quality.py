@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, put, words_of
+from .common import SPACE_CLASS, apart, materialize, put, words_of
 
 WINDOW = 8
 MINE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -21,6 +21,7 @@ FEATURES = {
 }
 FENCE = 6  # interquartile ranges
 SUB = 16  # buckets per power of two
+PRIOR = 20  # documents that the language counts for in each of its sources, and all in each language
 
 
 def _with_later(step: int) -> Column:
@@ -82,56 +83,64 @@ def sketches(counted: DataFrame) -> DataFrame:
     return counted.select("lang", "source", F.explode(pairs).alias("p")).groupBy("lang", "source", "p.feature", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, least: int = 100) -> DataFrame:
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """(lang, source, limits map<feature, limit>) for every group in the sketch.
 
-    A group of fewer than ``least`` documents takes its language's merged sketch instead,
-    and, if that is small as well, the sketch of all. The limit is the upper quartile plus
-    ``FENCE`` interquartile ranges, and at least the feature's least distance above the
-    quartile."""
-    total = sketch.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = sketch.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n"))
-
-    def fences(s: DataFrame, keys: list[str], name: str) -> DataFrame:
-        part = Window.partitionBy(*keys, "feature")
-        upto = part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = s.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(part))
-        at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-        q = ranked.groupBy(*keys, "feature").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("n"))
-        slack = F.create_map(*(x for k, (_, s) in FEATURES.items() for x in (F.lit(k), F.lit(s).cast("long"))))
-        limit = F.col("q3") + F.greatest((F.col("q3") - F.col("q1")) * FENCE, slack[F.col("feature")])
-        return q.groupBy(*keys).agg(F.max("n").alias(f"{name}_n"), F.map_from_entries(F.collect_list(F.struct("feature", limit.alias("limit")))).alias(name))
-
-    own = fences(sketch, ["lang", "source"], "own")
-    lang = fences(by_lang, ["lang"], "of_lang").withColumnRenamed("lang", "__dq_lang")
-    every = fences(total, [], "of_all")
-    return (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("__dq_lang")), "left")
-        .crossJoin(F.broadcast(every))  # one row
-        .select("lang", "source", F.when(F.col("own_n") >= least, F.col("own")).when(F.col("of_lang_n") >= least, F.col("of_lang")).otherwise(F.col("of_all")).alias("limits"))
-    )
-
-
-def quality_rules(docs: DataFrame, least: int = 100, most_broadcast: int = 100_000, keep_text: bool = True) -> DataFrame:
+    A group's sketch counts its own documents and, with the weight of ``prior`` documents, the
+    sketch of its language; that one likewise leans on the sketch of all. So a group's own
+    documents decide the more there are of them, and no size switches anything. Weighted
+    counts are whole numbers (all are brought to one denominator). The limit is the upper
+    quartile plus ``FENCE`` interquartile ranges, and at least the feature's least distance
+    above the quartile."""
+    whole = "decimal(38,0)"
+    every = sketch.groupBy("feature", "bucket").agg(F.sum("n").cast(whole).alias("n"))
+    total = every.groupBy("feature").agg(F.sum("n").cast(whole).alias("total"))
+
+    def leaning(s: DataFrame, keys: list[str], on: DataFrame, over: DataFrame, join: list[str]) -> DataFrame:
+        """Counts of ``s`` by ``keys``, each ``over.total`` times, and ``prior`` times those of ``on``."""
+        renamed = lambda df: df.withColumnsRenamed({k: f"__dq_{k}" for k in join})
+        same = lambda a: [F.col(k).eqNullSafe(F.col(f"__dq_{k}")) for k in join]
+        mine = [*keys, "feature", "bucket"]
+        own = s.groupBy(*mine).agg(F.sum("n").cast(whole).alias("n"))
+        scaled = own.join(renamed(over), same(own)).select(*mine, (F.col("n") * F.col("total")).cast(whole).alias("n"))
+        groups = own.select(*keys, "feature").distinct()
+        lent = groups.join(renamed(on), same(groups)).select(*mine, (F.col("n") * prior).cast(whole).alias("n"))
+        return scaled.unionByName(lent).groupBy(*mine).agg(F.sum("n").cast(whole).alias("n"))
+
+    by_lang = leaning(sketch, ["lang"], every, total, ["feature"])
+    of_lang = by_lang.groupBy("lang", "feature").agg(F.sum("n").cast(whole).alias("total"))
+    own = leaning(sketch, ["lang", "source"], by_lang, of_lang, ["lang", "feature"])
+    part = Window.partitionBy("lang", "source", "feature")
+    ranked = own.withColumn("upto", F.sum("n").over(part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("n").over(part))
+    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
+    fences = ranked.groupBy("lang", "source", "feature").agg(at(1).alias("q1"), at(3).alias("q3"))
+    slack = F.create_map(*(x for k, (_, s) in FEATURES.items() for x in (F.lit(k), F.lit(s).cast("long"))))
+    limit = F.col("q3") + F.greatest((F.col("q3") - F.col("q1")) * FENCE, slack[F.col("feature")])
+    return fences.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("feature", limit.alias("limit")))).alias("limits"))
+
+
+def quality_rules(docs: DataFrame, prior: int = PRIOR, most_broadcast: int = 100_000, keep_text: bool = True) -> DataFrame:
     """Judge ``docs`` (doc_id, text, lang, source, ...): adds n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (long), base_failed and kept (boolean).
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows.
     kept: not base_failed, and no feature above the adaptive limit of the row's language
-    and source. Null lang or source form groups of their own. Empty tables give no rows;
-    repeated rows are judged alike and count each; null text has no words, so it fails.
+    and source (``thresholds``). Null lang or source form groups of their own. Empty tables
+    give no rows; repeated rows are judged alike and count each; null or empty text has no
+    words, so it fails. Very long texts are counted whole. Other columns pass through.
 
     The counted table is written once; its sketch and its filter both read that table. The
     thresholds are broadcast only while they are at most ``most_broadcast`` groups, else
     they are joined by shuffle. ``keep_text=False`` leaves the text out of all this.
     """
-    counted = count_features(docs)
-    if not keep_text:
-        counted, docs = counted.drop("text"), docs.drop("text")
-    counted = materialize(counted, "quality")
-    limits = materialize(thresholds(sketches(counted), least), "limits")
-    names = {"lang": "__dq_lang", "source": "__dq_source", "limits": "__dq_limits"}
-    limits = limits.withColumnsRenamed(names)
+    docs, back = apart(docs)
+    names = [c for c in docs.columns if c.lower() not in MINE and (keep_text or c.lower() != "text")]
+    # Input columns that share a name with a counted one, but are not replaced, step aside.
+    aside = {c: f"__dq_in_{c}" for c in names if c.lower() in ("n_lines", "n_stutter")}
+    counted = count_features(docs.withColumnsRenamed(aside))
+    counted = materialize(counted if keep_text else counted.drop("text"), "quality")
+    limits = materialize(thresholds(sketches(counted), prior), "limits")
+    limits = limits.withColumnsRenamed({"lang": "__dq_lang", "source": "__dq_source", "limits": "__dq_limits"})
     if limits.count() <= most_broadcast:
         limits = F.broadcast(limits)
     judged = counted.join(limits, F.col("lang").eqNullSafe(F.col("__dq_lang")) & F.col("source").eqNullSafe(F.col("__dq_source")), "left")
@@ -140,4 +149,4 @@ def quality_rules(docs: DataFrame, least: int = 100, most_broadcast: int = 100_0
     for k, (e, _) in FEATURES.items():
         above = above | F.coalesce(F.expr(e) > F.col("__dq_limits")[k], F.lit(False))
     out = put(judged, base_failed=failed, kept=~failed & ~above)
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in [*MINE, "n_lines", "n_stutter"]), *MINE)
+    return out.select(*(F.col(f"`{aside.get(c, c)}`").alias(back.get(c, c)) for c in names), *MINE)

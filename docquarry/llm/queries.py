@@ -44,9 +44,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def rules_table(spark: SparkSession) -> DataFrame:
+    return spark.sql("select * from values " + ", ".join(map(str, RULES)) + " as r(host, path, verdict)")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    out = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    out = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules_table(spark))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -61,12 +64,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    turns = turns.unionByName(more)
-    # The log of a finished conversation: each row is one message, whole in one event. Rows
-    # that repeat a turn are messages of their own.
+    more = spark.sql(f"select * from values (-1L, 0, 'user', '{said}'), (-1L, 1, 'assistant', '{said}') as t(conv_id, turn, role, text)")
+    # Rows that repeat a turn are messages of their own.
     order = "row_number() over (partition by conv_id order by turn, role, text)"
-    events = turns.withColumn("seq", F.expr(order).cast("long")).selectExpr("conv_id", "seq", "seq as message", "'delta' as kind", "role", "text")
+    events = chat.event_log(turns.unionByName(more).withColumn("message", F.expr(order).cast("long")))
     out = chat.chat_format(events).withColumn("turns", chat.parse(F.col("formatted")))
     loss = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), s["length"].cast("int")))), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
@@ -86,11 +87,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     every = (op1_lm_score, op2_simhash, op3_quality, op4_line_dedup, op5_url_filter, op6_token_counts, op7_warc, op8_chat, op9_decontamination, op10_packing)
-    named = {f.__name__: f for f in every}
-    return named | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

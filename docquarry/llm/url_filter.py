@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, put
+from .common import apart, lower_ascii, materialize, put
 
 _PREFIX = 8  # hex digits of the digest that the equi-join uses
+SALTS = 16
 
 
 def url_parts(url):
@@ -18,7 +19,7 @@ def url_parts(url):
     return lower_ascii(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", most_broadcast: int = 200_000) -> DataFrame:
     """Judge every row's ``url`` by ``rules`` (host, path, verdict).
 
     Each distinct (host, path) expands to its host suffixes (whole labels) and, for every
@@ -28,9 +29,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     before ``allow``, by text order reversed). Adds ``host``, ``path``, ``rule`` (host +
     path of the rule or null) and ``verdict`` (the rule's, else ``default``).
 
+    Rules, and the answers by (host, path), are broadcast while they are at most
+    ``most_broadcast`` rows (counted first). Beyond, their side of the join is repeated under
+    ``SALTS`` salts, so that an expression or page that very many rows share is split.
+
     Null or malformed urls: empty host and path, no rule. Empty rules: all get ``default``.
-    Repeated rows are judged alike; rules with a null host or path are ignored.
+    Repeated rows are judged alike; rules with a null host or path are ignored. Other columns
+    of ``pages`` pass through, those named like an added one are replaced.
     """
+    pages, back = apart(pages)
     host, path = url_parts(F.col("url"))
     pages = put(pages, host=host, path=path)
     rules = (
@@ -56,13 +63,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         (F.char_length("__dq_rhost") + F.char_length("__dq_rpath")).alias("size"), F.char_length("__dq_rhost").alias("host_size"),
         F.col("__dq_rverdict").alias("verdict"), F.concat("__dq_rhost", "__dq_rpath").alias("rule"),
     )
-    best = (
-        exprs.join(rules, "__dq_prefix")
-        .where("__dq_full = __dq_digest")
-        .groupBy("host", "path")
-        .agg(F.max(order).alias("__dq_best"))
-    )
-    judged = pages.join(best, ["host", "path"], "left")
+    met = _spread(exprs, rules, ["__dq_prefix"], F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)), "inner", most_broadcast).where("__dq_full = __dq_digest")
+    best = materialize(met.groupBy("host", "path").agg(F.max(order).alias("__dq_best")), "url-rules")
+    judged = _spread(pages, best, ["host", "path"], F.pmod(F.spark_partition_id(), F.lit(SALTS)), "left", most_broadcast)
     out = put(judged, rule=F.col("__dq_best.rule"), verdict=F.coalesce(F.col("__dq_best.verdict"), F.lit(default)))
     mine = ["host", "path", "rule", "verdict"]
-    return out.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() not in mine), *mine)
+    return out.select(*(F.col(f"`{c}`").alias(back.get(c, c)) for c in pages.columns if c.lower() not in mine), *mine)
+
+
+def _spread(many: DataFrame, few: DataFrame, keys: list[str], salt: Column, how: str, most_broadcast: int) -> DataFrame:
+    """``many`` joined with ``few`` on ``keys``: by a broadcast of ``few`` if it is small, else by
+    a shuffle that splits each key by ``salt``."""
+    if few.count() <= most_broadcast:
+        return many.join(F.broadcast(few), keys, how)
+    salted = few.withColumn("__dq_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("__dq_salt", salt.cast("int")).join(salted, [*keys, "__dq_salt"], how).drop("__dq_salt")

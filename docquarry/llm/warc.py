@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small_batches
+from .common import materialize, shared_dir
 
 CRLF = "\r\n"
 #: Code points per chunk. Larger payloads are cut into WARC segments of this size.
@@ -102,7 +102,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     and ``total`` are the digest and length of the record's payload up to the end of this
     chunk, carried from chunk to chunk. ``ended`` marks a record's last chunk.
     A record that breaks off fails the read."""
-    small_batches(spark)
 
     def run(batches):
         names = ["file", "record_id", "refers_to", "kind", "chunk_no", "bytes", "sha1", "total", "stated", "ended"]

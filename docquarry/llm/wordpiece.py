@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 MARK = "▁"  # begins a piece that starts a word
 
@@ -107,7 +106,6 @@ def token_counts(docs: DataFrame, model_file: str, whole: bool = False) -> DataF
 
     Null or empty text: all 0. A word is matched once per task, in a table of bounded size;
     repeated rows count alike. Very long words cost time linear in their length."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         automaton = Automaton(*vocabulary(model_file), whole)

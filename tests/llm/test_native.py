@@ -45,7 +45,7 @@ def quality_rows():
 def test_quality_features_and_verdicts(spark):
     rows = quality_rows()
     docs = spark.createDataFrame([(*r, 7) for r in rows], DOCS + ", kept int")  # a name that clashes
-    out = quality.quality_rules(docs, least=20)
+    out = quality.quality_rules(docs, prior=20)
     assert out.columns == ["doc_id", "text", "lang", "source", *quality.MINE]
     got = out.collect()
     assert len(got) == len(rows)
@@ -63,8 +63,8 @@ def test_quality_features_and_verdicts(spark):
 def test_quality_empty_and_shuffled_thresholds(spark):
     assert quality.quality_rules(spark.createDataFrame([], DOCS)).count() == 0
     docs = spark.createDataFrame(quality_rows(), DOCS)
-    a = quality.quality_rules(docs, least=20).select("doc_id", "kept")
-    b = quality.quality_rules(docs, least=20, most_broadcast=0, keep_text=False).select("doc_id", "kept")
+    a = quality.quality_rules(docs, prior=20).select("doc_id", "kept")
+    b = quality.quality_rules(docs, prior=20, most_broadcast=0, keep_text=False).select("doc_id", "kept")
     assert sorted(a.collect()) == sorted(b.collect())
 
 
@@ -82,6 +82,55 @@ def test_bucket_error_is_bounded(spark):
     assert df.where("b > id or (id - b) * 16 > greatest(id, 1)").count() == 0
 
 
+def test_names_that_clash_with_helpers(spark):
+    rows = [(1, "a b c", "en", "s0", "t", 5, "x", 2), (1, "a b c", "en", "s0", "t", 5, "x", 2)]
+    docs = spark.createDataFrame(rows, DOCS + ", __dq_text string, n_lines int, __DQ_best string, n_stutter int")
+    out = quality.quality_rules(docs)
+    assert out.columns == [*docs.columns, *quality.MINE]
+    assert [(r["__dq_text"], r.n_lines, r["__DQ_best"], r.n_stutter) for r in out.collect()] == [("t", 5, "x", 2)] * 2
+    out = line_dedup.line_dedup(docs)
+    assert [r["__dq_text"] for r in out.collect()] == ["t", "t"] and out.columns[-2:] == ["n_lines", "n_dropped"]
+    pages = docs.selectExpr("doc_id as page_id", "'http://a.net/' as url", "*")
+    out = url_filter.url_filter(pages, Q.rules_table(spark))
+    assert [(r["__DQ_best"], r.rule, r.verdict) for r in out.collect()] == [("x", "net/", "block")] * 2
+    assert [r["__dq_text"] for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, "z z")], "item_id long, text string")).collect()] == ["t", "t"]
+
+
+def limits_plain(values, prior, slack=quality.FEATURES["symbols"][1]):
+    """Limits by (lang, source), from sorted weighted values. values: (lang, source, bucket)."""
+    from fractions import Fraction
+
+    def weighed(own, lent):  # each a list of (value, weight)
+        total = sum(w for _, w in lent)
+        return [(v, Fraction(w)) for v, w in own] + [(v, Fraction(w) / total * prior) for v, w in lent]
+
+    out = {}
+    every = [(v, 1) for *_, v in values]
+    for lang, source in {(a, b) for a, b, _ in values}:
+        of_lang = weighed([(v, 1) for a, _, v in values if a == lang], every)
+        found = sorted(weighed([(v, 1) for a, b, v in values if (a, b) == (lang, source)], of_lang))
+        total, at, q = sum(w for _, w in found), 0, {}
+        for v, w in found:
+            at += w
+            for k in (1, 3):
+                if at * 4 >= total * k:
+                    q.setdefault(k, v)
+        out[lang, source] = q[3] + max((q[3] - q[1]) * quality.FENCE, slack)
+    return out
+
+
+def test_limits_lean_on_the_language_and_follow_large_sources(spark):
+    rng = random.Random(9)
+    values = [("en", "calm", rng.randrange(10)) for _ in range(150)] + [("en", "loud", rng.randrange(40, 90)) for _ in range(400)] + [("en", "few", 500)] * 2 + [("de", None, 3)] * 5
+    rows = [(*v, "symbols") for v in values]
+    df = spark.createDataFrame(rows, "lang string, source string, v long, feature string").withColumn("bucket", quality.bucket(F.col("v")))
+    sketch = df.groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
+    got = {(r.lang, r.source): r.limits["symbols"] for r in quality.thresholds(sketch).collect()}
+    buckets = [(r.lang, r.source, r.bucket) for r in df.collect()]
+    assert got == limits_plain(buckets, quality.PRIOR)
+    assert got["en", "calm"] < got["en", "loud"]  # each source's own, not the language's
+
+
 # --- line dedup
 
 
@@ -146,6 +195,7 @@ def test_url_filter(spark):
         best = max(fit) if fit else (0, None, "allow")
         assert got[i] == (host, path, best[1], best[2]), u
     assert plans_no_python(out)
+    assert sorted(url_filter.url_filter(pages, rules, most_broadcast=0).collect()) == sorted(out.collect())
 
 
 def test_url_filter_ties_and_empty(spark):
@@ -197,6 +247,17 @@ def test_render_round_trip(spark):
     assert plans_no_python(out)
 
 
+def test_event_log_folds_back(spark):
+    rng = random.Random(33)
+    rows = [(c, m, rng.choice(["user", "assistant", "system", None]), rng.choice(["", None, "a", "two words", "<|im_end|>", "é😀 中文" * 50])) for c in range(40) for m in range(1, rng.randint(2, 9))]
+    log = chat.event_log(spark.createDataFrame(rows, "conv_id long, message long, role string, text string"))
+    kinds = Counter(r.kind for r in log.collect())
+    assert kinds["regenerate"] > 5 and kinds["edit"] > 5 and kinds["delta"] > 3 * len(rows) / 2
+    got = sorted((r.conv_id, r.message, r.role or "", r.text) for r in chat.fold_events(log).collect())
+    assert got == [(c, m, r or "", t or "") for c, m, r, t in rows]
+    assert fold_plain([tuple(e[k] for k in ("conv_id", "seq", "message", "kind", "role", "text")) for e in log.collect()]).keys() == {(c, m) for c, m, *_ in rows}
+
+
 def test_chat_empty(spark):
     assert chat.chat_format(spark.createDataFrame([], "conv_id long, seq long, message long, kind string, role string, text string")).count() == 0
 
@@ -283,14 +344,40 @@ def test_decontamination_empty(spark):
     assert decontaminate.decontaminate(docs, items.limit(0)).collect() == docs.collect()
 
 
-@pytest.mark.parametrize("flips", [0, 3, 23])
-def test_blocks_guarantee_the_radius(spark, flips):
+def test_decontamination_finds_by_blocks_within_the_radius(spark):
+    rng = random.Random(31)
+    say = lambda n: [f"v{rng.randrange(10_000)}" for _ in range(n)]
+    items = [(i, " ".join(say(40))) for i in range(20)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        w[20] = "changed" if i % 2 else w[20]
+        docs.append((i, " ".join([*say(30), *w, *say(30)])))
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    # Without any distance only whole copies meet; no other way leads to an answer.
+    exact = {r.doc_id: r.distance for r in decontaminate.find_matches(*tables, similarity=0.75, radius=0).collect()}
+    assert exact == {i: 0 for i in range(0, 20, 2)}
+    every = {r.doc_id: r.distance for r in decontaminate.find_matches(*tables, similarity=0.75).collect()}
+    assert set(every) == set(range(20)) and all(0 < every[i] <= decontaminate.radius_for(0.75) for i in range(1, 20, 2))
+
+
+def test_window_fingerprints(spark):
+    rng = random.Random(32)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(9)]
+    word = spark.range(1).select(decontaminate.simhash(F.array(*map(F.lit, hashes))).alias("fp")).first().fp[0]
+    assert word % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 9)
+
+
+@pytest.mark.parametrize("flips", [0, 3, 38])
+def test_blocks_guarantee_the_radius(flips):
+    assert decontaminate.radius_for(0.8) == 38
     rng = random.Random(flips)
+    places = [(64 * k + lo, hi - lo) for k, word in enumerate(decontaminate.edges(39)) for lo, hi in word]
+    assert len(places) == 39 and sum(n for _, n in places) == 128
+    cut = lambda x: [(x >> lo) & ((1 << n) - 1) for lo, n in places]
     for _ in range(200):
-        a = rng.getrandbits(64)
+        a = rng.getrandbits(128)
         b = a
-        for i in rng.sample(range(64), flips):
+        for i in rng.sample(range(128), flips):
             b ^= 1 << i
-        edges = [64 * i // decontaminate.BLOCKS for i in range(decontaminate.BLOCKS + 1)]
-        cut = lambda x: [(x >> lo) & ((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
         assert any(x == y for x, y in zip(cut(a), cut(b), strict=True))

@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import pytest
@@ -12,12 +12,12 @@ from docquarry.llm import oracles, quality
 from docquarry.llm import queries as Q
 
 from .helpers import jaccard, linked, shingles, words
-from .test_native import features, line_dedup_plain, matches_plain
+from .test_native import features, limits_plain, line_dedup_plain, matches_plain
 
 SF = "/root/testdata/sf0.001"
 
 
-def quality_plain(rows, least=100):
+def quality_plain(rows):
     """doc_ids that stay."""
 
     def values(text):
@@ -31,22 +31,12 @@ def quality_plain(rows, least=100):
         width = 2 ** max(v.bit_length() - quality.SUB.bit_length(), 0)
         return v // width * width
 
-    groups = defaultdict(list)
     each = [(r, values(r[1])) for r in rows]
-    for (_, _, lang, source), v in each:
-        for key in ((lang, source), lang, ()):
-            for k, x in v.items():
-                groups[key, k].append(bucket(x))
-    fence = {}
-    for (key, k), found in groups.items():
-        found.sort()
-        q1, q3 = (found[-(-len(found) * q // 4) - 1] for q in (1, 3))
-        fence[key, k] = (len(found), q3 + max((q3 - q1) * quality.FENCE, quality.FEATURES[k][1]))
+    fence = {k: limits_plain([(r[2], r[3], bucket(v[k])) for r, v in each], quality.PRIOR, slack) for k, (_, slack) in quality.FEATURES.items()}
     kept = []
     for r, v in each:
         n, _, _, _, again = features(r[1])
-        limit = lambda k, r=r: next(fence[key, k][1] for key in ((r[2], r[3]), r[2], ()) if fence[key, k][0] >= least or key == ())
-        if n >= 20 and 100 * again <= 30 * n and all(v[k] <= limit(k) for k in v):
+        if n >= 20 and 100 * again <= 30 * n and all(v[k] <= fence[k][r[2], r[3]] for k in v):
             kept.append(r)
     return kept
 
