@@ -119,3 +119,21 @@ def test_query_runs(spark, name):
     assert rows
     if name == "op2_simhash":
         assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) and r.component_id <= r.doc_id for r in rows)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __dq_text string, kept int"
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, say(1), None, None, None, "h", 1), (1, say(1), None, None, None, "h", 1), (None, say(2), "en", "s", 1, "h", 1), (3, None, "en", None, 0, "h", 1), (4, "", "en", "s", 0, "h", 1), (5, " ".join(f"u{i}" for i in range(20_000)), "en", "s", 9, "h", 1)]
+    items = spark.createDataFrame([(7, None), (8, "")], "item_id long, text string")
+    for name, found in (("empty", []), ("odd", rows)):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(found, schema).write.parquet(f"{path}/documents.parquet")
+        items.write.parquet(f"{path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, path)  # each on the odd table itself, too
+            assert out.columns == corpus_pipeline.COLUMNS
+            assert {r.doc_id for r in out.collect()} <= {1, 3, 4, 5, None}
+        out = corpus_pipeline.run(spark, path).collect()
+        assert Counter(p.doc_id for p in out if p.start == 0) == (Counter({1: 2, None: 1, 5: 1}) if found else Counter())
