@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_materialized, materialize
 from .components import connected_components
 
 SEED = 42
@@ -162,9 +162,13 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, far: int) -> DataFrame:
-    """Of the pairs (a, b) those whose fingerprints are at most ``far`` bits apart."""
+    """Of the pairs (text, lead), a few for each text, those whose fingerprints are at most
+    ``far`` bits apart, as (a, b)."""
     fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
-    return pairs.join(fp("a"), "a").join(fp("b"), "b").where(distance(F.col("a_fp"), F.col("b_fp")) <= far).select("a", "b")
+    by_text = pairs.groupBy("text").agg(F.collect_set("lead").alias("leads")).join(fp("text"), "text")
+    both = by_text.select("text", "text_fp", F.explode("leads").alias("lead")).join(fp("lead"), "lead")
+    close = both.where(distance(F.col("text_fp"), F.col("lead_fp")) <= far)
+    return close.select(F.least("text", "lead").alias("a"), F.greatest("text", "lead").alias("b")).distinct()
 
 
 def _alike(close: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -175,7 +179,10 @@ def _alike(close: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
     of = lambda k: sets.select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     alike = F.when(F.size("a_set") + F.size("b_set") == 0, F.lit(1.0)).otherwise(shared / (F.size("a_set") + F.size("b_set") - shared))
-    return materialize(close.join(of("a"), "a").join(of("b"), "b").where(alike >= similarity).select("a", "b"), "alike")
+    found = materialize(close.join(of("a"), "a").join(of("b"), "b").where(alike >= similarity).select("a", "b"), "alike")
+    drop_materialized(close)
+    drop_materialized(sets)
+    return found
 
 
 def differing(similarity: float) -> float:
@@ -229,7 +236,7 @@ def near_duplicates(
 
     table, probes = segment_tables(nodes, segments, bits)
     buckets = table.groupBy("seg", "key").agg(F.min("b").alias("b"), F.count("*").alias("n"))
-    first = probes.join(buckets, ["seg", "key"]).where("a <> b").select(*pair).distinct()
+    first = probes.join(buckets.select("seg", "key", F.col("b").alias("lead")), ["seg", "key"]).where("a <> lead").select(F.col("a").alias("text"), "lead")
     edges = _alike(_near(first, nodes, far), docs, shingle, similarity)
     groups = materialize(connected_components(edges), "groups")
 
@@ -246,16 +253,21 @@ def near_duplicates(
     keys = F.broadcast(sides) if sides.count() <= most_broadcast else sides
     every = lambda other, n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(other).alias("other"), i.alias("block")))
     goals = F.concat(every(True, F.col("others")), F.when(F.col("group") == F.col("lead"), F.array().cast("array<struct<other:boolean,block:int>>")).otherwise(every(False, F.col("own"))))
-    reach = probes.join(keys, ["seg", "key"]).select("seg", "key", "a", "exact", "group", F.explode(goals).alias("goal"))
-    reach = materialize(reach.select("seg", "key", "a", "exact", "group", "goal.other", "goal.block"), "reach")
+    # The few places that a text reaches travel as one row to its fingerprint.
+    reach = probes.join(keys, ["seg", "key"]).select("a", "group", F.struct("seg", "key", "exact", goals.alias("goals")).alias("place")).where(F.size("place.goals") > 0)
+    reach = materialize(reach.groupBy("a", "group").agg(F.collect_list("place").alias("places")), "reach")
     placed = rest.join(keys.drop("lead"), ["seg", "key"]).withColumn("other", aside)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("b"), F.when(aside, F.col("others")).otherwise(F.col("own"))).cast("int"))
     placed = placed.select("seg", "key", "b", "least", "b_group", "other", "block")
     fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
     apart = sum((F.bit_count(F.col("a_fp")[i].bitwiseXOR(F.col("b_fp")[i])) for i in range(words)), F.lit(0))
     meet = F.expr("group <> b_group and (not exact or a < b and a <> least)") & (apart <= far)
-    other = reach.join(fp("a"), "a").join(placed.join(fp("b"), "b"), ["seg", "key", "other", "block"]).where(meet).select(*pair).distinct()
+    going = reach.join(fp("a"), "a").select("a", "a_fp", "group", F.explode("places").alias("p"))
+    going = going.select("a", "a_fp", "group", "p.seg", "p.key", "p.exact", F.explode("p.goals").alias("goal")).select("*", "goal.other", "goal.block").drop("goal")
+    other = going.join(placed.join(fp("b"), "b"), ["seg", "key", "other", "block"]).where(meet).select(*pair).distinct()
     more = _alike(other, docs, shingle, similarity)
+    for used in (rest, sides, reach):
+        drop_materialized(used)
     found = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "__dq_id")
     labels = nodes.join(found, F.col("id") == F.col("__dq_id"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
     return prints.join(labels, "same").select("doc_id", "component_id")
