@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENTENCE_END = "。！？；!?;…"
+#: Marks that end a sentence of a transcript.
+SENTENCE_END = "。！？；!?;"
 #: Character ranges that count as CJK, by the counter that uses them.
 CJK_CONTEXT = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 CJK_CHUNK = r"[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
@@ -71,9 +72,19 @@ def speech_token_estimate(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences with their closing marks, stripped; blank ones dropped."""
-    found = F.regexp_extract_all(c, F.lit(f"[^{SENTENCE_END}]*[{SENTENCE_END}]+|[^{SENTENCE_END}]+$"), F.lit(0))
-    return F.filter(F.transform(found, strip), lambda s: s != "")
+    """Sentences with their closing marks, stripped. Runs of marks or line ends close one, and
+    so do full stops before white space or the end; what would have one visible character at
+    most goes to the next. A text without any is its own one sentence."""
+    parts = F.regexp_extract_all(c, F.lit(f"(?U)(?s).+?(?:[{SENTENCE_END}\n]+|\\.+(?=\\s|\\z)|\\z)"), F.lit(0))
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, part: Column) -> Column:
+        now = F.concat(acc.open, part)
+        closed = F.char_length(strip(now)) > 1
+        return F.struct(F.when(closed, "").otherwise(now).alias("open"), F.when(closed, F.concat(acc.done, F.array(strip(now)))).otherwise(acc.done).alias("done"))
+
+    found = F.aggregate(parts, start, step, lambda acc: F.when(strip(acc.open) != "", F.concat(acc.done, F.array(strip(acc.open)))).otherwise(acc.done))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(strip(c)))
 
 
 def topic_slices(c: Column, size: int = 500) -> Column:

@@ -42,6 +42,11 @@ def terms(text: str | None) -> list[str]:
     return list(found)
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 @F.pandas_udf(StringType())
 def nfkc_lower(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())

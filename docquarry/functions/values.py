@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,14 +31,25 @@ def canonical_number(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def filter_value(kind: Column, value: Column) -> Column:
+def utc_datetime(c: Column) -> Column:
+    """An ISO date-time in UTC to the second, with its offset written out; null if it is none."""
+    at = F.try_to_timestamp(c)
+    return F.date_format(F.convert_timezone(F.expr("current_timezone()"), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def filter_value(kind: Column, value: Column, folded: Column | None = None) -> Column:
     """(value_type, normalized_value, numeric_value, datetime_value) of a filterable scalar
-    given as text with its kind; containers and unknown kinds give null."""
-    number = value.try_cast("double")
-    norm = F.when(kind == "null", "").when(kind == "number", canonical_number(value.try_cast("decimal(38,10)"))).when(kind == "boolean", F.lower(value)).otherwise(value)
+    given as text with its kind; containers and unknown kinds give null. Date-times are
+    brought to UTC. ``folded`` is the text under compatibility folding (``unicode.nfkc``), which
+    strings are compared by; without it they are taken as they are."""
+    number, at = value.try_cast("double"), utc_datetime(value)
+    norm = (
+        F.when(kind == "null", "").when(kind == "number", canonical_number(value.try_cast("decimal(38,10)"))).when(kind == "boolean", F.lower(value))
+        .when(kind == "datetime", at).otherwise(value if folded is None else folded)
+    )
     return F.when(
         kind.isin("null", "boolean", "number", "string", "datetime"),
-        F.struct(kind.alias("value_type"), norm.alias("normalized_value"), F.when(kind == "number", number).alias("numeric_value"), F.when(kind == "datetime", value).alias("datetime_value")),
+        F.struct(kind.alias("value_type"), norm.alias("normalized_value"), F.when(kind == "number", number).alias("numeric_value"), F.when(kind == "datetime", at).alias("datetime_value")),
     )
 
 
@@ -261,3 +275,14 @@ def labelled_sections(*sections: tuple[str, Column]) -> Column:
 
 def bullets(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def content_hash(title: Column, keywords: Column, content: Column) -> Column:
+    """SHA-256 of title, keywords and content with a zero character between; null is empty."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.sha2(F.concat(text(title), F.lit("\0"), text(keywords), F.lit("\0"), text(content)), 256)
+
+
+def definition_fingerprint(definition: dict) -> str:
+    """SHA-256 of a definition as compact JSON with sorted keys."""
+    return hashlib.sha256(json.dumps(definition, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

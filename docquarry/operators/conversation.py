@@ -41,3 +41,16 @@ def prompt_sources(chunks: DataFrame, key: str = "query_id", order: str = "posit
     head = F.concat(F.lit("[ID:"), F.col(order).cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" (page "), F.coalesce(F.col("page").cast("string"), F.lit("N/A")), F.lit(")\n"))
     parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(head, "content").alias("t"))))
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p.t), "\n\n").alias("sources"))
+
+
+def rewrite_prompts(questions: DataFrame, history: DataFrame, instruction: str) -> DataFrame:
+    """(query_id, messages): what asks a model to make each question stand alone: the
+    ``instruction``, the conversation's turns in order, the question. ``questions`` (query_id,
+    conv_id, question), ``history`` (conv_id, turn, role, text); a conversation's turns must
+    fit into a row (``truncated_history`` bounds them)."""
+    said = lambda role, text: F.struct(role.alias("role"), text.alias("content"))
+    turns = history.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    both = questions.join(turns, "conv_id", "left")
+    past = F.coalesce(F.transform("turns", lambda t: said(t.role, t.text)), F.array().cast("array<struct<role:string,content:string>>"))
+    messages = F.concat(F.array(said(F.lit("system"), F.lit(instruction))), past, F.array(said(F.lit("user"), F.col("question"))))
+    return both.select("query_id", messages.alias("messages"))

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stratified_sample(rows: DataFrame, size: str, id_column: str, strata: int, per_stratum: int, seed: str = "20260813") -> DataFrame:
+def stratified_sample(rows: DataFrame, size: str, id_column: str, strata: int, per_stratum: int, seed: str = "20260813", span: int = 1000) -> DataFrame:
     """``per_stratum`` rows of each of ``strata`` interleaved strata over the order by size,
     chosen by the hash of seed and id."""
-    # The rank over all rows: those of lesser sizes, counted per size, plus the place among
-    # equal sizes. Only one row per different size meets in one window.
-    upto = Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(size).agg(F.count("*").alias("__n")).select(F.col(size).alias("__size"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    # The rank over all rows: those in lesser ranges of sizes, then in its range those of
+    # lesser sizes, then the place among equal sizes. One row per range meets in one window.
+    counts = rows.groupBy(F.floor(F.col(size) / span).alias("__range"), F.col(size).alias("__size")).agg(F.count("*").alias("__n"))
+    upto = lambda part, by: part.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("__range").agg(F.sum("__n").alias("__all"))
+    ranges = ranges.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__all").over(upto(Window.partitionBy(F.lit(0)), "__range")), F.lit(0)).alias("__lesser"))
+    inside = F.coalesce(F.sum("__n").over(upto(Window.partitionBy("__range"), "__size")), F.lit(0))
+    before = counts.withColumn("__inside", inside).join(ranges, F.col("__range").eqNullSafe(F.col("__r"))).select("__size", (F.col("__inside") + F.col("__lesser")).alias("__before"))
     equal = Window.partitionBy(size).orderBy(id_column)
     ranked = rows.withColumn("__place", F.row_number().over(equal)).join(before, F.col(size).eqNullSafe(F.col("__size")))
     ordered = ranked.withColumn("stratum", (F.col("__before") + F.col("__place") - 1) % strata).drop("__place", "__size", "__before")

@@ -62,15 +62,20 @@ def get(variant: Column, path: str, kind: str = "string", relative: bool = True)
 
 def records(sources: DataFrame, path: str, json_column: str = "value") -> DataFrame:
     """(source_pointer, record variant, and the source's other columns): the elements of the
-    array that a path with a wildcard names, or the one value of another path. A document
-    that does not parse fails the job."""
+    array that a path with a wildcard names, or the one value of another path. Scalars become
+    objects with the one field ``value``. A document that does not parse fails the job."""
     p = compile_path(path)
     whole = sources.withColumn("__v", F.parse_json(json_column)).drop(json_column)
     at = F.try_variant_get("__v", p.spark, "variant")
     if not p.many:
-        return whole.withColumns({"source_pointer": F.lit("$") if p.spark == "$" else F.lit(p.pointer.rstrip("/")), "record": at}).where(F.col("record").isNotNull()).drop("__v")
+        return whole.withColumns({"source_pointer": F.lit("$") if p.spark == "$" else F.lit(p.pointer.rstrip("/")), "record": _boxed(at)}).where(F.col("record").isNotNull()).drop("__v")
     items = F.try_variant_get("__v", p.spark, "array<variant>")
-    return whole.select("*", F.posexplode(items).alias("__i", "record")).withColumn("source_pointer", F.concat(F.lit(p.pointer), F.col("__i").cast("string"))).drop("__v", "__i")
+    return whole.select("*", F.posexplode(items).alias("__i", "record")).withColumn("source_pointer", F.concat(F.lit(p.pointer), F.col("__i").cast("string"))).withColumn("record", _boxed(F.col("record"))).drop("__v", "__i")
+
+
+def _boxed(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), v).otherwise(F.parse_json(F.concat(F.lit('{"value":'), F.to_json(v), F.lit("}"))))
 
 
 def _leaves(value: object, path: str, inside: str | None) -> Iterator[tuple]:
@@ -211,64 +216,115 @@ class Mapping:
             raise ValueError("a root record type needs a content or a title field")
 
 
+#: Transforms of one text. ``join``, ``deduplicate``, ``to_string`` and ``remove_child_echo`` also
+#: know lists or other records, see ``_Value``.
 TRANSFORMS = {
     "trim": T.strip, "normalize_whitespace": T.one_spaced, "normalize_newlines": T.unix_lines, "strip_html": T.without_tags, "deduplicate": T.distinct_lines,
-    "to_string": lambda c: F.coalesce(c, F.lit("None")), "to_number": lambda c: V.to_number(c).cast("string"), "to_boolean": lambda c: V.to_boolean(c).cast("string"), "parse_datetime": parsed_datetime,
+    "to_number": lambda c: V.to_number(c).cast("string"), "to_boolean": lambda c: V.to_boolean(c).cast("string"), "parse_datetime": parsed_datetime,
 }
 #: Transforms whose failure rejects the record.
 STRICT = {"to_number", "to_boolean", "parse_datetime"}
 
 
-def _field(record: Column, f: Field) -> tuple[Column, list[Column]]:
-    """The field's text and its issues, structs (kind, code, field), null where there is none."""
-    raw = get(record, f.path)
-    value, issues = raw, []
-    issue = lambda kind, code: F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"), F.lit(f.path).alias("field"))
-    for t in f.transforms:
-        if t not in TRANSFORMS:
-            return F.lit(None).cast("string"), [issue("warning", "UNKNOWN_TRANSFORM")]
-        then = TRANSFORMS[t](value)
-        if t in STRICT:
-            issues.append(F.when(value.isNotNull() & then.isNull(), issue("record_error", "TRANSFORM_FAILED")))
-        value = then
-    blank = F.coalesce(T.strip(value) == "", F.lit(True))
-    for kind, arg in f.conditions:
+class _Value:
+    """A field's value as columns: the ``text`` of a scalar, or the ``items`` of a list (as
+    texts; elements that are containers as JSON)."""
+
+    def __init__(self, record: Column, f: Field, echoes: Column | None):
+        at = compile_path(f.path, relative=True).spark
+        self.raw = F.try_variant_get(record, at, "variant")
+        self.kind = F.coalesce(F.schema_of_variant(self.raw), F.lit("VOID"))
+        listed = self.kind.startswith("ARRAY")
+        self.box = self.kind.startswith("OBJECT")
+        self.nested = self.box | self.kind.rlike("^ARRAY<(OBJECT|ARRAY|VARIANT)")
+        self.text = F.when(~listed & ~self.box, F.try_variant_get(record, at, "string"))
+        self.items = F.when(listed, F.try_variant_get(record, at, "array<string>"))
+        self.field, self.echoes, self.issues = f, echoes, []
+        self.known = True
+
+    def issue(self, test: Column, kind: str, code: str) -> None:
+        self.issues.append(F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"), F.lit(self.field.path).alias("field"))))
+
+    def transform(self, name: str) -> None:
+        if name == "join":
+            self.text, self.items = F.when(self.items.isNotNull(), V.joined(self.items)).otherwise(self.text), F.lit(None).cast("array<string>")
+        elif name == "to_string":
+            word = F.when(self.kind == "BOOLEAN", F.initcap(self.text)).otherwise(self.text)
+            self.text = F.coalesce(word, F.to_json(self.items), F.when(self.box, F.to_json(self.raw)), F.lit("None"))
+            self.items = F.lit(None).cast("array<string>")
+        elif name == "remove_child_echo":
+            self.text = self.text if self.echoes is None else T.without_lines(self.text, self.echoes)
+        elif name in TRANSFORMS:
+            then = TRANSFORMS[name](self.text)
+            if name in STRICT:
+                self.issue((self.text.isNotNull() & then.isNull()) | self.items.isNotNull(), "record_error", "TRANSFORM_FAILED")
+            self.text = then
+            if name == "deduplicate":
+                self.items = F.array_distinct(self.items)
+        else:
+            self.known = False
+            self.issue(F.lit(True), "warning", "UNKNOWN_TRANSFORM")
+
+    def condition(self, kind: str, arg: object) -> None:
+        blank = F.coalesce(T.strip(self.text) == "", F.coalesce(F.size(self.items), F.lit(0)) < 1)
         if kind == "required":
-            issues.append(F.when(blank, issue("record_error", "FIELD_REQUIRED")))
-            continue
+            return self.issue(blank & ~self.box, "record_error", "FIELD_REQUIRED")
         test, code = {
-            "min_length": (lambda: (F.char_length(value) < arg, "FIELD_TOO_SHORT")), "max_length": (lambda: (F.char_length(value) > arg, "FIELD_TOO_LONG")),
-            "not_empty": (lambda: (blank, "FIELD_EMPTY")), "skip_if_only_emoji": (lambda: (T.only_emoji(value), None)), "skip_if_matches": (lambda: (value.rlike(str(arg)), None)),
+            "min_length": (lambda: (F.char_length(self.text) < arg, "FIELD_TOO_SHORT")), "max_length": (lambda: (F.char_length(self.text) > arg, "FIELD_TOO_LONG")),
+            "not_empty": (lambda: (blank & ~self.box, "FIELD_EMPTY")), "skip_if_only_emoji": (lambda: (T.only_emoji(self.text), None)), "skip_if_matches": (lambda: (self.text.rlike(str(arg)), None)),
         }[kind]()
         if code:
-            issues.append(F.when(test, issue("warning", code)))
-        value = F.when(~F.coalesce(test, F.lit(False)), value)
-    return value, issues
+            self.issue(test, "warning", code)
+        keep = ~F.coalesce(test, F.lit(False))
+        self.text, self.items = F.when(keep, self.text), F.when(keep, self.items)
+
+
+def _field(record: Column, f: Field, echoes: Column | None) -> _Value:
+    value = _Value(record, f, echoes)
+    for t in f.transforms:
+        value.transform(t)
+        if not value.known:
+            value.text, value.items = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+            return value
+    for kind, arg in f.conditions:
+        value.condition(kind, arg)
+    return value
 
 
-def map_records(rows: DataFrame, mapping: Mapping, source_hash: str = "") -> DataFrame:
+def map_records(rows: DataFrame, mapping: Mapping, source_hash: str = "", echoes: str | None = None) -> DataFrame:
     """Mapped records of ``rows`` (source_pointer, record variant): record_id, record_type,
     title, content, keywords, filters, timestamps, display, issues, rejected. Everything is one
-    projection built from the mapping. A missing id becomes a hash of source, pointer and
-    type; a timestamp that does not parse moves to display with a warning."""
+    projection built from the mapping. Lists give several keywords; filters and display hold
+    them, and display other containers too, as JSON, while containers as filters are dropped with a
+    warning. A missing id becomes a hash of source, pointer and type; a timestamp that does
+    not parse moves to display with a warning. ``echoes`` names a column with the texts of a
+    record's children, for ``remove_child_echo``."""
     mapping.validate()
     record, values, issues = F.col("record"), {}, []
     for f in mapping.fields:
         if f.role != "ignore":
-            values[f], found = _field(record, f)
-            issues += found
+            values[f] = _field(record, f, F.col(echoes) if echoes else None)
     of = lambda role: [(f, v) for f, v in values.items() if f.role == role]
     pairs = lambda items: F.map_filter(F.map_from_arrays(F.array(*(F.lit(f.output) for f, _ in items)), F.array(*(v for _, v in items))), lambda k, v: v.isNotNull()) if items else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    times = [(f, v, parsed_datetime(v)) for f, v in of("timestamp")]
-    shown = of("display") + [(f, F.when(p.isNull(), v)) for f, v, p in times]
+    for _, v in of("filter"):
+        v.issue(v.nested, "warning", "FILTER_TYPE_MISMATCH")
+    plain = lambda v: F.coalesce(v.text, F.to_json(v.items))
+    filters = [(f, F.when(~v.nested, plain(v))) for f, v in of("filter")]
+    times = [(f, v.text, parsed_datetime(v.text)) for f, v in of("timestamp")]
+    shown = [(f, F.coalesce(plain(v), F.when(v.box, F.to_json(v.raw)))) for f, v in of("display")] + [(f, F.when(p.isNull(), t)) for f, t, p in times]
+    for v in values.values():
+        issues += v.issues
     warn = lambda f: F.struct(F.lit("warning").alias("kind"), F.lit("TIMESTAMP_UNPARSED").alias("code"), F.lit(f.path).alias("field"))
-    issues += [F.when(v.isNotNull() & p.isNull(), warn(f)) for f, v, p in times]
-    first = lambda role: F.coalesce(*(v for _, v in of(role)), F.lit(None)) if of(role) else F.lit(None).cast("string")
+    issues += [F.when(t.isNotNull() & p.isNull(), warn(f)) for f, t, p in times]
+    first = lambda role: F.coalesce(*(v.text for _, v in of(role)), F.lit(None)) if of(role) else F.lit(None).cast("string")
+    none = F.array().cast("array<string>")
+    words = F.concat(none, *(F.coalesce(v.items, F.array(v.text)) for _, v in of("keyword")))
+    content = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(T.strip(v.text) != "", v.text) for _, v in of("content"))))
     all_issues = F.array_compact(F.array(*issues)) if issues else F.array().cast("array<struct<kind:string,code:string,field:string>>")
     ident = F.coalesce(F.nullif(T.strip(first("id")), F.lit("")), V.fallback_record_id(F.lit(source_hash), F.col("source_pointer"), F.lit(mapping.name)))
     out = rows.select(
-        "*", ident.alias("record_id"), F.lit(mapping.name).alias("record_type"), first("title").alias("title"), F.concat_ws("\n", *(v for _, v in of("content"))).alias("content"),
-        F.array_compact(F.array(*(v for _, v in of("keyword")))).cast("array<string>").alias("keywords"), pairs(of("filter")).alias("filters"),
+        "*", ident.alias("record_id"), F.lit(mapping.name).alias("record_type"), first("title").alias("title"), F.array_join(content, "\n").alias("content"),
+        F.filter(words, lambda w: T.strip(w) != "").alias("keywords"), pairs(filters).alias("filters"),
         pairs([(f, p) for f, _, p in times]).alias("timestamps"), pairs(shown).alias("display"), all_issues.alias("issues"), F.lit(mapping.chunk_policy).alias("chunk_policy"),
     )
     return out.withColumn("rejected", F.exists("issues", lambda i: i.kind == "record_error"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import one_spaced, strip
+from ..functions.text import one_spaced, sentences, strip
 from ..functions.values import clock, clock_seconds
 
 
@@ -210,3 +210,34 @@ def library(states: DataFrame, roots: DataFrame) -> DataFrame:
     rest = [c for c in states.columns if c not in ("root", "name")]
     ranked = states.join(F.broadcast(roots), "root")
     return ranked.groupBy("name").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("priority"))).alias(c) for c in rest))
+
+
+def utterance_entries(utterances: DataFrame, key: str = "media_id") -> DataFrame:
+    """Entries (key, seconds, text) of recognised utterances (key, chunk_start, start_ms, end_ms,
+    text). One of several sentences gives each its own entry: at the utterance's start plus the
+    sentence's own share of the characters (not the sum of those before)."""
+    text = strip(F.coalesce("text", F.lit("")))
+    u = utterances.select(key, text.alias("t"), F.coalesce("chunk_start", F.lit(0.0)).alias("c"), F.coalesce("start_ms", F.lit(0)).cast("double").alias("a"), F.coalesce("end_ms", "start_ms", F.lit(0)).cast("double").alias("b"))
+    u = u.where("t <> ''").withColumn("parts", sentences(F.col("t"))).withColumn("several", F.size("parts") > 1)
+    each = u.select("*", F.explode(F.when(F.col("several"), F.col("parts")).otherwise(F.array("t"))).alias("part"))
+    share = F.char_length("part") / F.char_length("t") * F.greatest(F.col("b") - F.col("a"), F.lit(1.0)) / 1000
+    seconds = F.col("c") + F.col("a") / 1000 + F.when(F.col("several"), share).otherwise(0.0)
+    return each.select(key, F.round(seconds, 3).alias("seconds"), F.col("part").alias("text"))
+
+
+def captions_and_speech(cues: DataFrame, speech: DataFrame, key: str = "media_id") -> DataFrame:
+    """One transcript per key of caption cues (key, start, text) and recognised entries
+    (key, seconds, text), sorted by time and text; blank ones are left out."""
+    both = cues.select(key, F.col("start").alias("seconds"), "text").unionByName(speech.select(key, "seconds", "text"))
+    return merge_transcript(both.where(strip(F.col("text")) != ""), key)
+
+
+def speech_usage(results: DataFrame, key: str = "media_id") -> DataFrame:
+    """(key, seconds, calls): billed seconds and calls of all chunks and attempts."""
+    return results.groupBy(key).agg(F.round(F.sum(F.coalesce("seconds", F.lit(0.0))), 3).alias("seconds"), F.sum(F.coalesce("attempts", F.lit(0))).alias("calls"))
+
+
+def from_either(value: Column, *paths: tuple[str, ...]) -> list[Column]:
+    """For each tuple of JSON paths the first that has a text: responses come in an older and a
+    newer layout."""
+    return [F.coalesce(*(F.nullif(F.try_variant_get(value, p, "string"), F.lit("")) for p in several)) for several in paths]

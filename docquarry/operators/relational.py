@@ -121,3 +121,66 @@ def filtered_documents(docs: DataFrame, now: Column, status: str | None = None,
     for t in tests:
         docs = docs.where(t)
     return docs
+
+
+def owned_documents(docs: DataFrame, kbs: DataFrame, owner: object) -> DataFrame:
+    """Documents with their knowledge base's columns, where ``owner`` owns it."""
+    return docs.join(kbs.where(F.col("owner_id") == owner), "kb_id")
+
+
+def template_versions(versions: DataFrame, templates: DataFrame) -> DataFrame:
+    """Versions with their template's columns, the newest of each template marked ``latest``."""
+    newest = versions.groupBy("template_id").agg(F.max("version").alias("__newest"))
+    both = versions.join(templates, "template_id").join(newest, "template_id")
+    return both.withColumn("latest", F.col("version") == F.col("__newest")).drop("__newest")
+
+
+def bound_versions(bindings: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each document's mapping version; more than one for a document is an error."""
+    one = bindings.groupBy("document_id").agg(F.max("version_id").alias("version_id"), F.count("*").alias("__n"))
+    sure = F.when(F.col("__n") == 1, F.col("version_id")).otherwise(F.raise_error(F.lit("a document has two bindings")))
+    return one.select("document_id", sure.alias("version_id")).join(versions, "version_id")
+
+
+def without_references(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+    """Rows whose ``on`` is not among those of ``gone``: what a delete leaves; nulls stay."""
+    return rows.join(gone.select(on).distinct(), on, "left_anti")
+
+
+def backfilled(rows: DataFrame, links: DataFrame, sources: DataFrame, link: str, source: str, column: str) -> DataFrame:
+    """``column`` filled, where it is null, from ``sources`` (source, value), which rows reach
+    over ``links`` (link, source); else from the one greatest value of all sources."""
+    most = sources.agg(F.max("value").alias("__most"))
+    reached = links.join(sources, source).groupBy(link).agg(F.max("value").alias("__value"))
+    both = rows.join(reached, link, "left").crossJoin(F.broadcast(most))  # one row
+    return both.withColumn(column, F.coalesce(column, "__value", "__most")).drop("__value", "__most")
+
+
+def owner_counts(rows: DataFrame, owner: str, enabled: Column, most: int = 20) -> DataFrame:
+    """(owner, total, enabled, may_add): rows and enabled rows per owner, and whether the owner
+    has fewer than ``most``."""
+    n = rows.groupBy(owner).agg(F.count("*").alias("total"), F.count_if(enabled).alias("enabled"))
+    return n.withColumn("may_add", F.col("total") < most)
+
+
+def preview(rows: DataFrame, order: Sequence[str | Column], wanted: int = 5) -> DataFrame:
+    """The first rows (1 to 50 of them) with how many there are in all (``of``)."""
+    first = rows.orderBy(*order).limit(min(max(wanted, 1), 50))
+    return first.crossJoin(F.broadcast(rows.agg(F.count("*").alias("of"))))  # one row
+
+
+def keyword_on_page(rows: DataFrame, order: Sequence[str | Column], number: int, size: int, content: str, keyword: str) -> DataFrame:
+    """Of one page, the rows whose content holds the keyword in any case; pages are cut before
+    the filter, so one may come back short."""
+    return page(rows, order, number, size).where(F.contains(F.lower(content), F.lit(keyword.lower())))
+
+
+def recent_first(rows: DataFrame, updated: str, name: str, n: int = 50) -> DataFrame:
+    """The ``n`` newest rows: those never updated first, then by time; ties by name, in the
+    order of its collation without case."""
+    order = [F.desc_nulls_first(updated), F.collate(F.col(name), "UNICODE_CI"), F.col(name)]
+    return rows.orderBy(*order).limit(n)
+
+
+def has_repeats(ids: Column) -> Column:
+    return F.size(F.array_distinct(ids)) < F.size(ids)

@@ -13,6 +13,7 @@ from ..functions.text import bigrams, dice
 
 #: BM25 parameters.
 K1, B = 1.2, 0.75
+SMALL = 1000  # rows up to which search terms are broadcast or inlined
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -85,35 +86,67 @@ def pack_context(chunks: DataFrame, partition: Sequence[str], order: Sequence[st
     return packed.where(((F.col("running_tokens") <= most_tokens) | (F.col("position") == 1)) & (F.col("position") <= most_chunks))
 
 
-def bm25(rows: DataFrame, terms: DataFrame, weights: dict[str, float], limit: int) -> DataFrame:
-    """Ranked hits of weighted BM25: ``rows`` (id, one array<string> of tokens per column in
-    ``weights``), ``terms`` (query_id, group_id, term). A group scores only if the row holds
-    all of its terms. Statistics cover all rows. Result: query_id, id, lexical_score,
-    lexical_rank (ties by id)."""
+def lexical_index(rows: DataFrame, weights: dict[str, float], also: Sequence[str] = ("collection_id", "state", "ingest_run_id"), wanted: Sequence[str] | None = None) -> DataFrame:
+    """An inverted index of ``rows`` (id, one array<string> of tokens per column in ``weights``):
+    (term, id, size, f, and the columns ``also`` that the rows have). Written as a table
+    partitioned by a hash of ``term`` it serves all later searches; ``wanted`` keeps the terms of
+    one search, before anything is exploded."""
+    kept = [c for c in also if c in rows.columns]
     size = F.aggregate(F.array(*(F.size(c) for c in weights)), F.lit(0), lambda a, x: a + x)
-    stats = rows.agg(F.count("*").alias("n_rows"), F.avg(size).alias("avg_size"))
     weighted = F.concat(*(_weighted(c, w) for c, w in weights.items()))
-    wanted = terms.select("term").distinct()
-    tf = (
-        rows.select("id", size.alias("size"), F.explode(weighted).alias("t")).select("id", "size", "t.term", "t.w")
-        .join(F.broadcast(wanted), "term")  # the terms of the queries at hand
-        .groupBy("term", "id", "size").agg(F.sum("w").alias("f"))
-    )
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    one = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    if wanted is not None:
+        weighted = F.filter(weighted, lambda t: t.term.isin(list(wanted)))
+    each = rows.select("id", *kept, size.alias("size"), F.explode(weighted).alias("t"))
+    return each.groupBy("t.term", "id", "size", *kept).agg(F.sum("t.w").alias("f"))
+
+
+def index_statistics(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """One row: number of rows and their average size, over all states and collections."""
+    size = F.aggregate(F.array(*(F.size(c) for c in weights)), F.lit(0), lambda a, x: a + x)
+    return rows.agg(F.count("*").alias("n_rows"), F.avg(size).alias("avg_size"))
+
+
+def search_index(
+    index: DataFrame, stats: DataFrame, terms: DataFrame, limit: int, collection: str | None = None, state: str | None = None, runs: Sequence[str] | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """Ranked hits of weighted BM25 in a ``lexical_index``; ``terms`` (query_id, group_id, term).
+    A group scores only if the row holds all of its terms. Frequencies are those of the whole
+    index; collection, state, runs and ids (a DataFrame) choose which rows may be hits,
+    before the limit. None does not filter; an empty list of runs or no ids give no hits.
+    Result: query_id, id, lexical_score, lexical_rank (ties by id). ``terms`` are broadcast while
+    they are few, which is counted."""
+    few = (lambda df: F.broadcast(df)) if terms.limit(SMALL + 1).count() <= SMALL else (lambda df: df)
+    tf = index.join(few(terms.select("term").distinct()), "term")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # one row per wanted term
+    for column, value in (("collection_id", collection), ("state", state)):
+        if value is not None:
+            tf = tf.where(F.col(column) == value)
+    if runs is not None:
+        tf = tf.where(F.col("ingest_run_id").isin(list(runs)) if runs else F.lit(False))
+    if ids is not None:
+        tf = tf.join(ids.select("id").distinct(), "id", "left_semi")
+    one = tf.join(few(df), "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
     groups = terms.groupBy("query_id", "group_id").agg(F.count_distinct("term").alias("need"))
     scored = (
-        one.withColumn("part", part).join(F.broadcast(terms.distinct()), "term")
+        one.withColumn("part", part).join(few(terms.distinct()), "term")
         .groupBy("query_id", "group_id", "id").agg(F.sum("part").alias("part"), F.count_distinct("term").alias("held"))
-        .join(F.broadcast(groups), ["query_id", "group_id"]).where("held = need")
+        .join(few(groups), ["query_id", "group_id"]).where("held = need")
         .groupBy("query_id", "id").agg(F.sum("part").alias("lexical_score"))
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "id")
     return scored.withColumn("lexical_rank", F.row_number().over(w)).where(F.col("lexical_rank") <= limit)
 
 
+def bm25(rows: DataFrame, terms: DataFrame, weights: dict[str, float], limit: int, **filters) -> DataFrame:
+    """``search_index`` over an index made for these terms alone: of the rows' tokens only
+    wanted ones are exploded, where the terms are few."""
+    wanted = [r.term for r in terms.select("term").distinct().limit(SMALL + 1).collect()]
+    index = lexical_index(rows, weights, wanted=wanted if len(wanted) <= SMALL else None)
+    return search_index(index, index_statistics(rows, weights), terms, limit, **filters)
+
+
 def _weighted(column: str, weight: float) -> Column:
     return F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
@@ -186,8 +219,33 @@ def activate_run(rows: DataFrame, collection: str, run: str) -> DataFrame:
     return rows.withColumn("state", state)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``new`` replaces rows of ``old`` with the same key."""
+def delete_run(rows: DataFrame, collection: str, run: str) -> DataFrame:
+    """Rows without those of a run, whatever their state; again does no more."""
+    return rows.where(~F.coalesce((F.col("collection_id") == collection) & (F.col("ingest_run_id") == run), F.lit(False)))
+
+
+def delete_where(rows: DataFrame, **equal: object) -> DataFrame:
+    """Rows without those whose columns have these values (``doc_id=7``, ``collection_id="a"``)."""
+    if not equal:
+        raise ValueError("a delete needs a condition")
+    met = functools.reduce(operator.and_, (F.col(k) == F.lit(v) for k, v in equal.items()))
+    return rows.where(~F.coalesce(met, F.lit(False)))
+
+
+def update_chunk(rows: DataFrame, changes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with the new ``columns`` of ``changes`` (chunk_id, doc_id, ...), each only where the
+    chunk belongs to that document; ``updated`` tells which (their embeddings are stale)."""
+    new = changes.select("chunk_id", "doc_id", *(F.col(c).alias(f"__new_{c}") for c in columns), F.lit(True).alias("__hit"))
+    both = rows.join(new, ["chunk_id", "doc_id"], "left")
+    hit = F.coalesce("__hit", F.lit(False))
+    return both.select(*(F.when(hit, F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns), hit.alias("updated"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], **defaults: object) -> DataFrame:
+    """``new`` replaces rows of ``old`` with the same key; columns that it lacks get the
+    ``defaults``, else null."""
+    for name, value in defaults.items():
+        new = new.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in new.columns else F.lit(value))
     return old.join(new, list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -209,3 +267,12 @@ def order_free_digest(rows: DataFrame, digest: str) -> DataFrame:
     run's rows together."""
     number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest_sum"))
+
+
+def aggregate_digest(rows: DataFrame, digest: str, head: int = 4) -> DataFrame:
+    """One row: count and a hash of all hexadecimal digests, in any order: the sorted digests of
+    each prefix of ``head`` digits are hashed, then these hashes in order of the prefixes. No
+    group holds more than its share of 16^head, and the last at most so many hashes."""
+    part = rows.groupBy(F.substring(digest, 1, head).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), ""), 256).alias("d"))
+    top = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x.d), "")
+    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(top, 256).alias("aggregate_hash"))

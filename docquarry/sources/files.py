@@ -7,7 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unix_lines
@@ -62,28 +62,31 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): one row per file; ``records`` explodes it. Text after the value fails."""
     files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.trim(F.col("value")).alias("value"))
-    # parse_json accepts trailing text, so the reader checks that the value ends where it should.
-    closed = F.col("value").rlike(r"(?s)^(\{.*\}|\[.*\]|[^\[{].*)$")
+    # parse_json accepts trailing text; inside brackets a second value is an element or an error.
+    whole = F.variant_get(F.parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$", "array<variant>")
+    closed = F.col("value").rlike(r"(?s)^(\{.*\}|\[.*\]|[^\[{].*)$") & (F.size(whole) == 1)
     return files.where(F.col("value") != "").withColumn("value", F.when(closed, F.col("value")).otherwise(F.raise_error(F.lit("malformed JSON"))))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value): ``line`` counts the values of a file from 1. A file is one split,
-    so its lines come in order, and a running number per file is exact."""
+    """(path, line, value): ``line`` counts the values of a file from 1. Large files are read
+    in several splits: a value's number is its place in the split plus the counts of the
+    splits before, so no setting of the session is touched and no file is one task."""
 
     def run(frames):
-        count: dict[str, int] = {}
+        count: dict[tuple, int] = {}
         for f in frames:
-            lines = []
-            for p in f["path"]:
-                count[p] = count.get(p, 0) + 1
-                lines.append(count[p])
-            yield pd.DataFrame({"path": f["path"], "line": lines, "value": f["value"]})
-
-    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).first()["n"]
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(int(size) + 1, 134_217_728)))
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
-    return rows.mapInPandas(run, "path string, line long, value string")
+            places = []
+            for at in zip(f["path"], f["split"], strict=True):
+                count[at] = count.get(at, 0) + 1
+                places.append(count[at])
+            yield f.assign(place=places)
+
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), "value").where(F.trim("value") != "")
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "split").agg(F.count("*").alias("n")).select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = rows.mapInPandas(run, "path string, split long, value string, place long")
+    return placed.join(splits, ["path", "split"]).select("path", (F.col("before") + F.col("place")).alias("line"), "value")
 
 
 def write_artifacts(good: DataFrame, bad: DataFrame, folder: str) -> DataFrame:

@@ -9,8 +9,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import conversation, evaluation, jsonmap, media, relational, retrieval
-from docquarry.sources import files
+from docquarry.functions import text as T
+from docquarry.functions import values as V
+from docquarry.functions.unicode import nfkc
+from docquarry.operators import chunking, conversation, evaluation, jsonmap, media, relational, retrieval
+from docquarry.sources import embedding, files
 from docquarry.streaming import jobs
 
 # --- JSON
@@ -257,3 +260,99 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == 4
     assert spark.table("fails").agg(F.max("failures")).first()[0] == 8
     assert [r.events for r in spark.table("sess").collect()] == [8]
+
+
+def test_mapping_of_lists_and_containers(spark):
+    rows = [
+        ("$/0", '{"id": 7, "tags": ["a", " ", "b", "a"], "many": [1, 2, 2], "box": {"x": 1}, "deep": [{"y": 1}], "on": true, "body": "one\\nchild\\ntwo", "n": ["1"]}', ["child", " "]),
+        ("$/1", '{"id": "8", "tags": "single", "many": 5, "box": null, "deep": [], "on": false, "body": " ", "n": "1"}', []),
+    ]
+    df = spark.createDataFrame(rows, "source_pointer string, value string, echo array<string>").withColumn("record", F.parse_json("value"))
+    fields = (
+        jsonmap.Field("id", "id"), jsonmap.Field("tags", "keyword"), jsonmap.Field("tags", "display", name="line", transforms=("deduplicate", "join")), jsonmap.Field("many", "filter"), jsonmap.Field("box", "filter"),
+        jsonmap.Field("deep", "filter"), jsonmap.Field("box", "display", name="shown"), jsonmap.Field("on", "display", name="word", transforms=("to_string",)), jsonmap.Field("body", "content", transforms=("remove_child_echo",)),
+    )
+    mapping = jsonmap.Mapping("post", "$[*]", fields)
+    got = {r.record_id: r for r in jsonmap.map_records(df, mapping, echoes="echo").collect()}
+    assert got["7"].keywords == ["a", "b", "a"] and got["8"].keywords == ["single"]
+    assert got["7"].filters == {"many": '["1","2","2"]'} and got["8"].filters == {"many": "5", "deep": "[]"}
+    assert [(i.code, i.field) for i in got["7"].issues] == [("FILTER_TYPE_MISMATCH", "box"), ("FILTER_TYPE_MISMATCH", "deep")] and not got["8"].issues
+    assert got["7"].display == {"line": "a,  , b", "shown": '{"x":1}', "word": "True"} and got["8"].display["word"] == "False"
+    assert got["7"].content == "one\ntwo" and got["8"].content == ""
+    strict = jsonmap.Mapping("post", "$[*]", (jsonmap.Field("body", "content"), jsonmap.Field("n", "filter", transforms=("to_number",))))
+    assert {r.source_pointer: r.rejected for r in jsonmap.map_records(df, strict).collect()} == {"$/0": True, "$/1": False}
+
+
+def test_scalar_records_are_wrapped(spark):
+    df = spark.createDataFrame([('["a", 2, {"k": 1}]',)], "value string")
+    got = [str(r.record) for r in jsonmap.records(df, "$[*]").select(F.to_json("record").alias("record")).collect()]
+    assert got == ['{"value":"a"}', '{"value":2}', '{"k":1}']
+
+
+def test_json_with_a_second_value_fails(spark, tmp_path):
+    (tmp_path / "good.json").write_text(' {"a": [1, 2]} \n')
+    assert [r.value.strip() for r in files.read_json(spark, f"{tmp_path}/good.json").collect()] == ['{"a": [1, 2]}']
+    for bad in ('{"a":1}{"b":2}', '{"a":1},{"b":2}', "1 2", "[1] x"):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception, match="(?i)malformed"):
+            files.read_json(spark, f"{tmp_path}/bad.json").collect()
+
+
+def test_jsonl_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f'{{"n": {i}}}' + ("\n" if i % 7 == 0 else "") for i in range(3000)]  # some blank lines
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.read_jsonl(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line, r.value) for r in got) == [(i + 1, f'{{"n": {i}}}') for i in range(3000)]
+
+
+def test_filter_values_are_folded_and_in_utc(spark):
+    rows = [("string", "Ａb①", "Ab1"), ("datetime", "2024-01-01T08:00:00+08:00", "2024-01-01T00:00:00+00:00"), ("datetime", "2024-01-01 08:00:00", "2024-01-01T08:00:00+00:00"), ("number", "1.500", "1.5"), ("boolean", "True", "true"), ("null", None, "")]
+    df = spark.createDataFrame(rows, "kind string, v string, want string")
+    got = df.select("want", V.filter_value(F.col("kind"), F.col("v"), nfkc(F.col("v"))).normalized_value.alias("got")).collect()
+    assert all(r.want == r.got for r in got), got
+
+
+def test_embedding_in_batches_with_retries(spark, tmp_path):
+    flag = tmp_path / "failed"
+
+    def embedder(texts):
+        assert len(texts) <= 64
+        if not flag.exists():
+            flag.write_text("once")
+            raise embedding.Retryable
+        return [(float(t), 1.0) for t in texts]
+
+    texts = spark.range(150).select(F.col("id").cast("string").alias("text")).coalesce(1)
+    embedding.WAIT, wait = 0.01, embedding.WAIT
+    try:
+        got = embedding.embed(texts, embedder, dimension=2).collect()
+    finally:
+        embedding.WAIT = wait
+    assert all(r.embedding == [float(r.text), 1.0] for r in got) and len(got) == 150
+    with pytest.raises(Exception, match="does not have 3 numbers"):
+        embedding.embed(texts, embedder, dimension=3).collect()
+
+
+def test_sentences_and_units_follow_their_marks(spark):
+    cases = {"One. Two!\nthree 3.5 four? 五。六": ["One.", "Two!", "three 3.5 four?", "五。", "六"], "! a. b": ["! a.", "b"], "...": ["..."], "": [""], "a.b.c": ["a.b.c"], "x; y；z": ["x;", "y；", "z"]}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.s for r in df.select("t", T.sentences(F.col("t")).alias("s")).collect()}
+    assert got == cases
+    assert list(chunking.units("alpha; beta gamma; delta")) == ["alpha; beta gamma; delta"]
+
+
+def test_search_filters_come_before_the_limit(spark):
+    rows = [(i, ["tax"] * (5 - i % 5), "a" if i % 2 else "b", "active" if i < 8 else "dormant", f"r{i % 3}") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, content array<string>, collection_id string, state string, ingest_run_id string")
+    terms = spark.createDataFrame([(0, 0, "tax")], "query_id int, group_id int, term string")
+    ids = lambda **k: {r.id for r in retrieval.bm25(df, terms, {"content": 1.0}, 2, **k).collect()}
+    assert len(ids()) == 2
+    assert ids(collection="a", state="active") <= {1, 3, 5, 7} and len(ids(collection="a", state="active")) == 2
+    assert ids(runs=["r1"], collection="b") == {4} and ids(runs=[]) == set()
+    few = spark.createDataFrame([(2,), (9,)], "id long")
+    assert ids(ids=few) == {2, 9} and ids(ids=few.limit(0)) == set() and ids(ids=few, state="active") == {2}
