@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, letters_and_digits, one_spaced, slices, strip, token_estimate
 from .conversation import prompt_sources, truncated_history
-from .retrieval import candidates, cosine, first_per_record, hybrid_rescore
+from .retrieval import candidates, cosine, first_per_record, hybrid_rescore, is_small
 
 
 def prepared_chunks(chunks: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def retrieve(prepared: DataFrame, questions: DataFrame, kbs: DataFrame, top_k: i
     per record. Then all lists of a question are one: by score, knowledge-base order, rank."""
     owned = questions.join(kbs, ["kb_id", "owner_id"])  # before anything is read from an index
     q = owned.withColumn("query_text", letters_and_digits(F.col("question"))).withColumn("query_text_pairs", bigrams(F.col("query_text"))).drop("question")
-    hits = prepared.join(F.broadcast(q), "kb_id").withColumn("score", cosine(F.col("embedding"), F.col("query_vector"))).drop("query_vector", "owner_id")
+    hits = prepared.join(F.broadcast(q) if is_small(questions) else q, "kb_id").withColumn("score", cosine(F.col("embedding"), F.col("query_vector"))).drop("query_vector", "owner_id")
     w = Window.partitionBy("query_id", "kb_id").orderBy(F.desc("score"), "id")
     near = hits.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= candidates(top_k)) & (F.col("score") >= threshold))
     scored = hybrid_rescore(near, "query_text", "plain").drop("query_text", "plain")
@@ -44,9 +44,11 @@ def expand_context(found: DataFrame, prepared: DataFrame, questions: DataFrame,
     core = found.select("query_id", "kb_id", "chunk_id", "doc_id", "chunk_index", "content", "score", "position", F.lit(False).alias("is_neighbor"))
     start = core.where(F.col("position") <= seeds)
     wanted = start.select("query_id", "kb_id", "doc_id", F.col("position").alias("window"), F.explode(F.sequence(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index"))
-    around = prepared.select("kb_id", "doc_id", "chunk_index", "chunk_id", "content", "embedding").join(F.broadcast(wanted), ["kb_id", "doc_id", "chunk_index"])
+    # A question has three rows here for each seed at most, and one vector per knowledge base.
+    few = F.broadcast if is_small(questions) else lambda df: df
+    around = prepared.select("kb_id", "doc_id", "chunk_index", "chunk_id", "content", "embedding").join(few(wanted), ["kb_id", "doc_id", "chunk_index"])
     vectors = questions.select("query_id", "kb_id", F.col("query_vector").alias("v")).dropDuplicates(["query_id", "kb_id"])
-    around = around.join(F.broadcast(vectors), ["query_id", "kb_id"]).withColumn("score", cosine(F.col("embedding"), F.col("v"))).drop("embedding", "v")
+    around = around.join(few(vectors), ["query_id", "kb_id"]).withColumn("score", cosine(F.col("embedding"), F.col("v"))).drop("embedding", "v")
     # A chunk that several windows hold stands where it comes first.
     first = around.groupBy("query_id", "kb_id", "chunk_id").agg(F.min(F.struct("window", "chunk_index")).alias("at"), *(F.first(c).alias(c) for c in ("doc_id", "content", "score")))
     both = first.join(core.select("query_id", "kb_id", "chunk_id", "position"), ["query_id", "kb_id", "chunk_id"], "full_outer")

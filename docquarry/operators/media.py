@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,28 +70,48 @@ def best_caption(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ratio", "language_bonus", F.char_length("transcript"))).alias("b")).select(key, "b.*")
 
 
-def _plan(duration: float, silences: Sequence[float], target: float, least: float, most: float, overlap: float) -> list[tuple[int, float, float]]:
-    cuts, quiet = [0.0], np.sort([s for s in silences if 0 < s < duration])
-    while duration - cuts[-1] > most:
-        near = quiet[(quiet >= cuts[-1] + least) & (quiet <= cuts[-1] + most)]
-        goal = cuts[-1] + target
-        cuts.append(round(float(near[np.abs(near - goal).argmin()]) if len(near) else min(goal, duration), 3))
-    cuts.append(float(duration))
-    last = len(cuts) - 2
-    return [(i, round(max(0.0, a - overlap * (i > 0)), 3), round(min(duration, b + overlap * (i < last)), 3)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+def _cuts(duration: Column, silences: Column, target: float, least: float, most: float) -> Column:
+    """Where a recording is cut: from each cut on, at the silence nearest to ``target`` within
+    ``least`` and ``most`` seconds, or without one at ``target``, until the rest is short enough."""
 
+    def step(cuts: Column, _: Column) -> Column:
+        last = F.element_at(cuts, -1)
+        near = F.filter(silences, lambda s: s.between(last + least, last + most))
+        best = F.array_min(F.transform(near, lambda s: F.struct(F.abs(s - last - target).alias("off"), s.alias("s")))).s
+        return F.when(duration - last > most, F.concat(cuts, F.array(F.round(F.coalesce(best, F.least(last + target, duration)), 3)))).otherwise(cuts)
 
-def speech_chunks(media: DataFrame, target: float = 150, least: float = 120, most: float = 180, overlap: float = 1.5) -> DataFrame:
-    """(media_id, index, start, end) of overlapping chunks of ``media`` (media_id, duration,
-    silences array<double>). Each cut depends on the one before, so a row is cut by a small
-    helper, in Arrow batches; no grouping is needed."""
+    steps = F.sequence(F.lit(0), F.ceil(duration / least).cast("int"))
+    return F.aggregate(steps, F.array(F.lit(0.0)), step, lambda cuts: F.concat(cuts, F.array(duration)))
 
-    def run(frames):
-        for f in frames:
-            rows = [(m, *c) for m, d, s in zip(f["media_id"], f["duration"], f["silences"], strict=True) if d > 0 for c in _plan(d, s if s is not None else (), target, least, most, overlap)]
-            yield pd.DataFrame(rows, columns=["media_id", "index", "start", "end"])
 
-    return media.select("media_id", "duration", "silences").mapInPandas(run, "media_id long, index int, start double, end double")
+def speech_chunks(media: DataFrame, target: float = 150, least: float = 120, most: float = 180, overlap: float = 1.5) -> DataFrame:
+    """(media_id, index, start, end) of overlapping chunks of ``media`` (media_id, duration,
+    silences array<double>): one projection, no grouping."""
+    return _chunks(media.where("duration > 0"), ["media_id"], target, least, most, overlap).select("media_id", "index", "start", "end")
+
+
+def _chunks(media: DataFrame, keys: list[str], target: float, least: float, most: float, overlap: float) -> DataFrame:
+    length = F.col("duration").cast("double")
+    inside = F.filter(F.coalesce("silences", F.array().cast("array<double>")), lambda s: (s > 0) & (s < length))
+    cut = media.select(*keys, length.alias("d"), _cuts(length, inside, target, least, most).alias("c"))
+    at = lambda i: F.get("c", i)
+    ends = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(
+        i.alias("index"), F.round(F.greatest(F.lit(0.0), at(i) - F.when(i > 0, overlap).otherwise(0.0)), 3).alias("start"),
+        F.round(F.least("d", at(i + 1) + F.when(i < F.size("c") - 2, overlap).otherwise(0.0)), 3).alias("end"),
+    ))
+    return cut.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*")
+
+
+def speech_chunks_of(ranges: DataFrame, media: DataFrame, target: float = 150, least: float = 120, most: float = 180, overlap: float = 1.5) -> DataFrame:
+    """``speech_chunks`` of parts of recordings only: ``ranges`` (media_id, start, end). Chunks
+    are numbered through all ranges of a recording, in the order of their starts."""
+    own = ranges.where(F.col("end") > F.col("start")).select("media_id", F.col("start").alias("from"), F.col("end").alias("to")).join(media.select("media_id", "silences"), "media_id")
+    near = F.transform(F.filter("silences", lambda s: (s > F.col("from")) & (s < F.col("to"))), lambda s: s - F.col("from"))
+    parts = own.select("media_id", "from", (F.col("to") - F.col("from")).alias("duration"), near.alias("silences"))
+    cut = _chunks(parts, ["media_id", "from"], target, least, most, overlap)
+    number = F.row_number().over(Window.partitionBy("media_id").orderBy("from", "index")) - 1
+    shift = lambda c: F.round(F.col("from") + F.col(c), 3)
+    return cut.select("media_id", number.alias("index"), shift("start").alias("start"), shift("end").alias("end"))
 
 
 def distinct_frames(frames: DataFrame, threshold: float = 2.0) -> DataFrame:

@@ -23,6 +23,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
+def is_small(df: DataFrame, most: int = 10_000) -> bool:
+    """Whether ``df`` has at most so many rows; no more than one over is counted."""
+    return df.limit(most + 1).count() <= most
+
+
 def candidates(top_k: int) -> int:
     """How many candidates dense search fetches before re-scoring and deduplication."""
     return max(20 * top_k, 100)
@@ -32,10 +37,15 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int, group: Sequ
     """Exact top candidates of every query (query_id, query_vector, and the ``group`` columns)
     among ``vectors`` (id, embedding array<double>, ...): adds ``score`` and ``rank``.
 
-    The queries are few and broadcast (callers batch them); a vector meets them in its own
-    partition. Ranking is a rank-limited window, so each task passes on only its best rows.
+    Queries are counted: up to 10,000 are broadcast, so a vector meets them in its own
+    partition. More are refused without a ``group`` (send them in batches), and joined by a
+    shuffle of the groups with one. Ranking is a rank-limited window, so each task passes on only its best rows.
     The inclusive ``threshold`` is on the cosine alone."""
-    scored = vectors.crossJoin(F.broadcast(queries)) if not group else vectors.join(F.broadcast(queries), list(group))
+    few = is_small(queries)
+    if not (few or group):
+        raise ValueError("more than 10,000 queries in one batch")
+    near = F.broadcast(queries) if few else queries
+    scored = vectors.join(near, list(group)) if group else vectors.crossJoin(near)
     scored = scored.withColumn("score", cosine(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)

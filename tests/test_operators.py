@@ -356,3 +356,19 @@ def test_search_filters_come_before_the_limit(spark):
     assert ids(runs=["r1"], collection="b") == {4} and ids(runs=[]) == set()
     few = spark.createDataFrame([(2,), (9,)], "id long")
     assert ids(ids=few) == {2, 9} and ids(ids=few.limit(0)) == set() and ids(ids=few, state="active") == {2}
+
+
+def test_long_tables_keep_every_row():
+    rows = ["| a | b |", "| 1 | short |", "| 2 | " + "x" * 400 + " |", "| 3 | c |", "| 4 | d |"]
+    out = chunking.long_table("\n".join(rows), 40)
+    assert all(any(r in part for part in out) for r in rows) and all(part.startswith(rows[0]) for part in out)
+    ruled = [rows[0], "|---|---|", *(f"| {i} | {'y' * 30} |" for i in range(20))]
+    parts = chunking.long_table("\n".join(ruled), 60)
+    assert [x for p in parts for x in p.split("\n")[2:]] == ruled[2:] and all(sum(map(chunking.tokens, p.split("\n"))) <= 60 for p in parts)
+
+
+def test_speech_chunks_of_ranges(spark):
+    m = spark.createDataFrame([(1, 1000.0, [100.0, 430.0, 585.0, 700.0])], "media_id long, duration double, silences array<double>")
+    r = spark.createDataFrame([(1, 300.0, 650.0), (1, 0.0, 90.0), (1, 700.0, 700.0)], "media_id long, start double, end double")
+    got = sorted((c["index"], c.start, c.end) for c in media.speech_chunks_of(r, m).collect())
+    assert got == [(0, 0.0, 90.0), (1, 300.0, 431.5), (2, 428.5, 586.5), (3, 583.5, 650.0)]
