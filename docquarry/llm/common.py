@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 1000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -42,10 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: this cuts lineage, and
-    the files survive the loss of any executor."""
+    the files survive the loss of any executor. While it is written, Arrow batches hold
+    ``BATCH_ROWS`` rows at most, so those of long texts stay small; then the session has its
+    own setting again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, batch = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

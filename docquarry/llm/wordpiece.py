@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 MARK = "▁"  # begins a piece that starts a word
 
@@ -125,4 +127,4 @@ def token_counts(docs: DataFrame, model_file: str, whole: bool = False) -> DataF
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in rows)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long"), "token-counts")
