@@ -244,7 +244,12 @@ def chunk_split(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id, list_filter([trim(x, ' ，。！？；:：') for x in string_split_regex(text, '[\n。！？；]+')], lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, flatten([[substr(x, i * 500 + 1, 500) for i in range(0, (length(x) + 499) // 500)] for x in l]) AS f FROM p),
+d AS (SELECT doc_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS e FROM s)
+SELECT doc_id, (generate_subscripts(e, 1) - 1)::INT AS entry_no, unnest(e) AS entry FROM d
+""")
 def topic_entries(spark, d):
     return chunking.topic_entries(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "entry_no", "entry")
 
@@ -290,7 +295,10 @@ def profile_paths(spark, d):
     return jsonmap.profile(table(spark, d, "events").select(F.col("props").alias("value"))).select("path", "container", "observed", "nulls", "distinct_values")
 
 
-@query()
+@query("""
+SELECT event_id::VARCHAR AS record_id, 'event' AS record_type, trim(event_type) AS title, regexp_replace(value::VARCHAR, '\\.0$', '') AS value,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN printf('.%06d', epoch_us(ts) % 1000000) ELSE '' END || '+00:00' AS ts, false AS rejected FROM events
+""")
 def map_json_records(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("source_pointer"), F.parse_json(F.to_json(F.struct("event_id", "event_type", "value", F.col("ts").cast("string").alias("ts")))).alias("record"))
     m = jsonmap.Mapping("event", "$[*]", (jsonmap.Field("event_id", "id"), jsonmap.Field("event_type", "title", transforms=("trim",)), jsonmap.Field("value", "filter"), jsonmap.Field("ts", "timestamp")))
