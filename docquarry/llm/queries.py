@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, lm_score, packing, quality, simhash, url_filter, warc, wordpiece
+from . import chat, decontaminate, line_dedup, lm_score, packing, quality, simhash, spelling, url_filter, warc, wordpiece
 
 TOKENIZER = "word_bpe_49k.json"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -86,8 +86,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.spelling_variants(words)
+
+
 def queries() -> dict:
-    every = (op1_lm_score, op2_simhash, op3_quality, op4_line_dedup, op5_url_filter, op6_token_counts, op7_warc, op8_chat, op9_decontamination, op10_packing)
+    every = (op1_lm_score, op2_simhash, op3_quality, op4_line_dedup, op5_url_filter, op6_token_counts, op7_warc, op8_chat, op9_decontamination, op10_packing, op11_spelling)
     return {f.__name__: f for f in every}
 
 
