@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, lm_score, packing, quality, simhash, spelling, url_filter, warc, wordpiece
+from . import chat, decontaminate, line_dedup, lm_score, packing, prefix_trie, quality, simhash, spelling, url_filter, warc, wordpiece
 
 TOKENIZER = "word_bpe_49k.json"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -91,8 +91,21 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(words)
 
 
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Every conversation c with its first h turns taken from c - c % 20 (none where there is no
+    such one), h being the unsigned crc32 of its decimal id modulo 4."""
+    firsts = sequences.where("conv_id % 20 = 0").selectExpr("conv_id as base", "slice(ids, 1, 3) as first_ids", "slice(words, 1, 3) as first_words")
+    both = sequences.withColumns({"base": F.expr("conv_id - conv_id % 20"), "h": F.expr("cast(crc32(encode(cast(conv_id as string), 'utf-8')) % 4 as int)")}).join(firsts, "base", "left")
+    joined = "concat(slice(coalesce(first_{0}, array()), 1, h), slice({0}, h + 1, size({0}))) as {0}"
+    return both.selectExpr("conv_id", joined.format("ids"), joined.format("words"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(rebuilt(prefix_trie.encode_turns(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
-    every = (op1_lm_score, op2_simhash, op3_quality, op4_line_dedup, op5_url_filter, op6_token_counts, op7_warc, op8_chat, op9_decontamination, op10_packing, op11_spelling)
+    every = (op1_lm_score, op2_simhash, op3_quality, op4_line_dedup, op5_url_filter, op6_token_counts, op7_warc, op8_chat, op9_decontamination, op10_packing, op11_spelling, op12_prefix_trie)
     return {f.__name__: f for f in every}
 
 
