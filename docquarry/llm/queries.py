@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, lm_score, packing, prefix_trie, quality, simhash, spelling, url_filter, warc, wordpiece
+from . import chat, decontaminate, line_dedup, lm_score, nearest, packing, prefix_trie, quality, simhash, spelling, url_filter, warc, wordpiece
 
 TOKENIZER = "word_bpe_49k.json"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -104,8 +104,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(rebuilt(prefix_trie.encode_turns(table(spark, sf_dir, "conversations"))))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
-    every = (op1_lm_score, op2_simhash, op3_quality, op4_line_dedup, op5_url_filter, op6_token_counts, op7_warc, op8_chat, op9_decontamination, op10_packing, op11_spelling, op12_prefix_trie)
+    every = (op1_lm_score, op2_simhash, op3_quality, op4_line_dedup, op5_url_filter, op6_token_counts, op7_warc, op8_chat, op9_decontamination, op10_packing, op11_spelling, op12_prefix_trie, op13_nearest)
     return {f.__name__: f for f in every}
 
 
