@@ -96,4 +96,46 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_DIGITS} AS payload_dige
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p
 """
 
-SQL = {"op3_quality": OP3, "op4_line_dedup": OP4, "op5_url_filter": OP5, "op7_warc": OP7, "op8_chat": OP8}
+# DuckDB has no crc32: a table of the 256 one-byte remainders, then a fold over the bytes.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab"
+
+
+def _crc32(text: str) -> str:
+    bytes_ = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+OP11 = f"""
+WITH RECURSIVE z AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, {lower_ascii("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, z),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+p AS MATERIALIZED (SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS MATERIALIZED (SELECT a.word, b.word AS near FROM p a JOIN p b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT p.word, v.word FROM p JOIN v ON p.rest = v.word UNION SELECT v.word, p.word FROM p JOIN v ON p.rest = v.word),
+b AS (SELECT e.word, count(*)::BIGINT AS n_near, min(struct_pack(m := -v.n, near := near)) AS best FROM e JOIN v ON v.word = near GROUP BY e.word),
+f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.near END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM v LEFT JOIN b USING (word)),
+w AS (SELECT word, word AS root FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+o AS (SELECT w.word, root FROM w JOIN f ON f.word = w.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN o USING (word)
+"""
+
+OP12 = f"""
+WITH z AS ({_CRC_TABLE}),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, sha256(length(role) || ':' || role || text) AS key, len({words("text")}) AS words FROM t),
+o AS (SELECT conv_id, list(struct_pack(key := key, words := words) ORDER BY turn NULLS FIRST, role, key) AS said FROM k GROUP BY conv_id),
+h AS (SELECT conv_id, said, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM o, z),
+s AS (SELECT h.conv_id, list_concat(coalesce(o.said, [])[1:h.h], h.said[h.h + 1:]) AS said FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, d, len(said) AS size, sha256(array_to_string([x.key for x in said[1:d]], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string([x.key for x in said[1:d - 1]], ',')) END AS up,
+  CASE WHEN d > 0 THEN said[d].words ELSE 0 END AS words FROM (SELECT conv_id, said, unnest(range(len(said) + 1)) AS d FROM s)),
+n AS (SELECT node, up, d, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends FROM m GROUP BY node, up, d),
+c AS (SELECT up AS node, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT n.node, n.n, n.words, kids IS NULL AS leaf, m.conv_id, m.d FROM n LEFT JOIN c USING (node) JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d),
+u AS (SELECT m.node, sum((a.n - 1) * a.words)::BIGINT AS saved, (count(*) FILTER (leaf))::BIGINT AS leaves FROM a JOIN m ON m.conv_id = a.conv_id AND m.d = a.d GROUP BY m.node)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(kids, 0)::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens, n.ends AS ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.up LEFT JOIN c ON c.node = n.node JOIN u ON u.node = n.node
+"""
+
+SQL = {"op11_spelling": OP11, "op12_prefix_trie": OP12, "op3_quality": OP3, "op4_line_dedup": OP4, "op5_url_filter": OP5, "op7_warc": OP7, "op8_chat": OP8}
