@@ -171,9 +171,10 @@ class Index:
 
     def __init__(self, points: DataFrame, axes: int):
         spark, self.axes = points.sparkSession, axes
-        top = F.array_max(F.transform("vec", F.abs))
-        norm = top * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
-        points = points.select("rep", "vec", "ids", F.size("vec").alias("dim"), norm.alias("norm")).withColumn("band", F.round(F.log2("norm")).cast("int"))
+        # The largest component is a column of its own, or each component would look for it again.
+        points = points.select("rep", "vec", "ids", F.size("vec").alias("dim"), F.array_max(F.transform("vec", F.abs)).alias("top"))
+        norm = F.col("top") * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))
+        points = points.select("rep", "vec", "ids", "dim", norm.alias("norm")).withColumn("band", F.round(F.log2("norm")).cast("int"))
         points = materialize(points, "points")
         found = points.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("norm").alias("most")).orderBy("dim", "band").collect()
         self.groups = [(r["dim"], r["band"], r["most"]) for r in found]
