@@ -336,7 +336,7 @@ def child_rows(parents: DataFrame, child: Mapping) -> DataFrame:
     their place."""
     array = F.try_variant_get("record", compile_path(child.record_path, relative=True).spark, "array<variant>")
     rows = parents.where("not rejected").select(F.col("record_id").alias("parent_record_id"), "source_pointer", F.posexplode(array).alias("child_index", "record"))
-    return rows.where(F.schema_of_variant("record").startswith("OBJECT")).withColumn("source_pointer", F.concat_ws("/", "source_pointer", F.lit(child.name), F.col("child_index").cast("string")))
+    return rows.where(F.schema_of_variant("record").startswith("OBJECT")).withColumn("source_pointer", F.concat_ws("/", "source_pointer", F.lit(child.record_path.split("[", 1)[0]), F.col("child_index").cast("string")))
 
 
 def related_parents(children: DataFrame, source: str, target: str) -> DataFrame:
