@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import ipaddress
 import json
+import operator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: Words that read as true or false.
 TRUE_WORDS = ("true", "1", "yes", "y", "是", "真")
@@ -27,7 +30,7 @@ def to_number(c: Column) -> Column:
 
 def canonical_number(c: Column) -> Column:
     """A decimal as text without an exponent or trailing zeros."""
-    text = c.cast("decimal(38,10)").cast("string")
+    text = F.coalesce(c.try_cast("decimal(38,18)").cast("string"), c.try_cast("decimal(38,0)").cast("string"))
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
@@ -103,13 +106,14 @@ def normalized_url(c: Column) -> Column:
     return F.concat(F.lower(part(1)), F.lit("://"), F.regexp_replace(F.lower(part(2)), r"^www\.", ""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-#: Host fragments of the video sources, by name.
+#: Host fragments of the video sources, by name, and the start of one more host.
 VIDEO_HOSTS = {
     "weixin": ("weixin.qq.com", "finder.video.qq.com"),
     "bilibili": ("bilibili.com", "b23.tv"),
     "douyin": ("douyin.com", "iesdouyin.com"),
     "youtube": ("youtube.com", "youtu.be"),
 }
+WEIXIN_START = "sph"
 
 
 def url_host(c: Column) -> Column:
@@ -117,10 +121,14 @@ def url_host(c: Column) -> Column:
 
 
 def source_class(c: Column) -> Column:
-    host, kind = url_host(c), F.when(url_host(c) == "", "local")
+    """Class of a video's source by the host of an http(s) URL; what is no such URL is ``local``."""
+    host = F.lower(F.regexp_extract(strip(F.coalesce(c, F.lit(""))), r"^https?://([^/]+)", 1))
+    kind = F.when(host == "", "local")
     for name, parts in VIDEO_HOSTS.items():
         for p in parts:
             kind = kind.when(F.contains(host, F.lit(p)), name)
+        if name == "weixin":
+            kind = kind.when(host.startswith(WEIXIN_START), name)
     return kind.otherwise("other")
 
 
@@ -130,12 +138,73 @@ def video_id(c: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(c, t, 1), F.lit("")) for t in tries))
 
 
+#: Networks that are not global, and parts of them that are.
+NOT_GLOBAL = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32",
+    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10",
+)
+STILL_GLOBAL = ("192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+
+
+def _range(network: str) -> tuple[str, str]:
+    """First and last address as hexadecimal digits; IPv4 as the 8 digits it has."""
+    n = ipaddress.ip_network(network)
+    digits = n.max_prefixlen // 4
+    return tuple(f"{int(x):0{digits}x}" for x in (n.network_address, n.broadcast_address))
+
+
+def ipv4_digits(c: Column) -> Column:
+    """Eight hexadecimal digits of a dotted address, null if it is none (leading zeros are refused)."""
+    part = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    digits = F.array_join(F.transform(F.split(c, r"\."), lambda p: F.lpad(F.lower(F.hex(p.try_cast("int"))), 2, "0")), "")
+    return F.when(c.rlike(rf"^{part}\.{part}\.{part}\.{part}$"), digits)
+
+
+def ipv6_digits(c: Column) -> Column:
+    """32 hexadecimal digits of an IPv6 address, null if it is none. ``::`` stands for as many zero
+    groups as are missing; the last two groups may be a dotted address."""
+
+    def plain(text: Column) -> Column:
+        tail = let(ipv4_digits(F.regexp_extract(text, r":([\d.]+)$", 1)), lambda t: F.concat(F.regexp_replace(text, r"[\d.]+$", ""), F.substring(t, 1, 4), F.lit(":"), F.substring(t, 5, 4)))
+        return F.when(F.contains(text, F.lit(".")), tail).otherwise(text)
+
+    groups = lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":", -1))
+
+    def filled(halves: Column) -> Column:
+        left, right = groups(F.get(halves, 0)), groups(F.get(halves, 1))
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        return F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+
+    def digits(every: Column) -> Column:
+        fine = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(fine, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    text = F.lower(F.regexp_replace(c, r"%.*$", ""))
+    return let(let(let(text, plain), lambda t: let(F.split(t, "::", -1), filled)), digits)
+
+
+def is_global(digits: Column) -> Column:
+    """Whether an address (``ipv4_digits`` or ``ipv6_digits``) is global; addresses of one kind compare as texts. An
+    IPv4 address in IPv6 form is judged as the former. Null stays null."""
+
+    def judged(own: Column) -> Column:
+        def within(networks: tuple[str, ...]) -> Column:
+            return functools.reduce(operator.or_, [(F.char_length(own) == len(low)) & own.between(low, high) for low, high in map(_range, networks)])
+
+        return ~within(NOT_GLOBAL) | within(STILL_GLOBAL)
+
+    plain = lambda d: F.when((F.char_length(d) == 32) & d.startswith("0" * 20 + "ffff"), F.substring(d, 25, 8)).otherwise(d)
+    return let(let(digits, plain), judged)
+
+
 def is_public_url(c: Column) -> Column:
-    """An http(s) URL whose host is neither local nor a private or reserved IPv4 address.
-    Names are not resolved."""
-    host = F.regexp_replace(url_host(c), r":\d+$", "")
-    private = r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\."
-    return c.rlike(r"(?i)^https?://") & (host != "") & (host != "localhost") & ~host.endswith(".localhost") & ~host.rlike(private) & ~host.startswith("[")
+    """An http(s) URL whose host is a name other than localhost or a global address. Names are not
+    resolved; numbers that are no address are refused."""
+    host = F.lower(F.regexp_extract(c, r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
+    digits = lambda h: F.when(h.startswith("["), ipv6_digits(F.regexp_extract(h, r"^\[(.*)\]$", 1))).otherwise(ipv4_digits(h))
+    named = lambda h: (h != "") & (h != "localhost") & ~h.endswith(".localhost")
+    return let(host, lambda h: F.when(h.rlike(r"^\[|^[\d.]+$"), F.coalesce(is_global(digits(h)), F.lit(False))).otherwise(F.coalesce(named(h), F.lit(False))))
 
 
 def media_cost(seconds: Column, tokens: Column) -> Column:

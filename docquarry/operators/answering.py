@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, letters_and_digits, one_spaced, slices, strip, token_estimate
+from ..functions.unicode import nfkc
 from .conversation import prompt_sources, truncated_history
 from .retrieval import candidates, cosine, first_per_record, hybrid_rescore, is_small
 
@@ -13,7 +14,7 @@ from .retrieval import candidates, cosine, first_per_record, hybrid_rescore, is_
 def prepared_chunks(chunks: DataFrame) -> DataFrame:
     """``chunks`` (kb_id, doc_id, chunk_index, chunk_id, record_id, content, embedding, ...) with
     the normalised text and its bigrams, made once for all questions."""
-    d = chunks.withColumn("id", F.col("chunk_id")).withColumn("plain", letters_and_digits(F.col("content")))
+    d = chunks.withColumn("id", F.col("chunk_id")).withColumn("plain", letters_and_digits(nfkc(F.col("content"))))
     return d.withColumn("plain_pairs", bigrams(F.col("plain"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
@@ -25,7 +26,7 @@ def retrieve(prepared: DataFrame, questions: DataFrame, kbs: DataFrame, top_k: i
     Per knowledge base: candidates by cosine, the inclusive threshold, hybrid scores, one hit
     per record. Then all lists of a question are one: by score, knowledge-base order, rank."""
     owned = questions.join(kbs, ["kb_id", "owner_id"])  # before anything is read from an index
-    q = owned.withColumn("query_text", letters_and_digits(F.col("question"))).withColumn("query_text_pairs", bigrams(F.col("query_text"))).drop("question")
+    q = owned.withColumn("query_text", letters_and_digits(nfkc(F.col("question")))).withColumn("query_text_pairs", bigrams(F.col("query_text"))).drop("question")
     hits = prepared.join(F.broadcast(q) if is_small(questions) else q, "kb_id").withColumn("score", cosine(F.col("embedding"), F.col("query_vector"))).drop("query_vector", "owner_id")
     w = Window.partitionBy("query_id", "kb_id").orderBy(F.desc("score"), "id")
     near = hits.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= candidates(top_k)) & (F.col("score") >= threshold))

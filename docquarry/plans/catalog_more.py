@@ -275,7 +275,13 @@ def profile_statistics(spark, d):
     return p.select("path", "observed", "nulls", "elements", "distinct_values", "min_length", "max_length", six(F.col("null_rate")).alias("null_rate"), six(F.col("uniqueness")).alias("uniqueness"))
 
 
-@query("VALUES ('compatible', 'added:kind'), ('breaking', 'removed:value') ORDER BY 1")
+@query("""
+WITH k AS (SELECT 'few' AS shape, unnest(json_keys(json_object('event_id', event_id, 'value', value))) AS name FROM events UNION SELECT 'more', unnest(json_keys(json_object('event_id', event_id, 'value', value, 'kind', event_type))) FROM events
+  UNION SELECT 'less', unnest(json_keys(json_object('event_id', event_id))) FROM events),
+d AS (SELECT b.shape, 'added:' || name AS what FROM k b WHERE shape <> 'few' AND name NOT IN (SELECT name FROM k WHERE shape = 'few')
+  UNION ALL SELECT s.shape, 'removed:' || name FROM k, (SELECT DISTINCT shape FROM k WHERE shape <> 'few') s WHERE k.shape = 'few' AND name NOT IN (SELECT name FROM k x WHERE x.shape = s.shape))
+SELECT CASE WHEN bool_or(starts_with(what, 'removed')) THEN 'breaking' ELSE 'compatible' END AS col0, string_agg(what, ',' ORDER BY what) AS col1 FROM d GROUP BY shape
+""")
 def profile_compatibility(spark, d):
     e = table(spark, d, "events")
     shape = lambda *c: jsonmap.profile(e.select(F.to_json(F.struct(*c)).alias("value")))
@@ -284,7 +290,12 @@ def profile_compatibility(spark, d):
     return both.select(F.col("kind").alias("col0"), F.array_join("differences", ",").alias("col1"))
 
 
-@query("VALUES ('id', 'id', 'unique_identifier'), ('at', 'timestamp', 'datetime_parse_rate'), ('title', 'title', 'short_title'), ('avatar_url', 'display', 'resource_reference'), ('kind', 'keyword', 'short_repeated')")
+@query("""
+WITH e AS (SELECT event_id::VARCHAR AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, event_type AS kind, 'http://a/b' AS url FROM events),
+s AS (SELECT count(DISTINCT id) = count(*) AS own, avg((try_cast(stamp AS TIMESTAMP) IS NOT NULL)::INT) >= 0.9 AS dates, max(length(kind)) <= 40 AND count(DISTINCT kind) < count(*) AS short, bool_and(regexp_matches(url, '^https?://')) AS links FROM e)
+SELECT unnest(['id', 'at', 'title', 'avatar_url', 'kind']) AS col0, unnest([CASE WHEN own THEN 'id' END, CASE WHEN dates THEN 'timestamp' END, CASE WHEN short THEN 'title' END, CASE WHEN links THEN 'display' END, CASE WHEN short THEN 'keyword' END]) AS col1,
+  unnest([CASE WHEN own THEN 'unique_identifier' END, CASE WHEN dates THEN 'datetime_parse_rate' END, CASE WHEN short THEN 'short_title' END, CASE WHEN links THEN 'resource_reference' END, CASE WHEN short THEN 'short_repeated' END]) AS col2 FROM s
+""")
 def suggested_roles(spark, d):
     e = table(spark, d, "events")
     rows = e.select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.col("event_type").alias("title"), F.lit("http://a/b").alias("avatar_url"), F.col("event_type").alias("kind"))).alias("value"))

@@ -145,3 +145,36 @@ def test_chunk_tables(spark):
     assert got == {"1:0:a#0": (500, 500), "1:0:a#500": (500, 500), "1:0:a#1000": (200, 200), "1:1:b": (1200, 500)}
     records = spark.createDataFrame([(1, "t", "甲。乙。甲。", p) for p in ("topic", "atomic", "semantic", "ignore", "parent-only")], "doc_id long, title string, content string, chunk_policy string")
     assert Counter(r.preserve for r in chunking.by_policy(records).collect()) == {True: 4, False: 1}
+
+
+def test_public_addresses_equal_the_standard_library(spark):
+    import ipaddress
+
+    hosts = ["8.8.8.8", "10.1.2.3", "100.64.0.1", "172.31.0.1", "172.32.0.1", "192.0.0.9", "192.0.0.8", "198.19.0.1", "203.0.113.9", "224.0.0.1", "240.0.0.1", "255.255.255.255", "0.1.2.3", "169.254.9.9"]
+    hosts += ["::", "::1", "2001:4860:4860::8888", "fe80::1", "fc00::1", "fdff::", "fe00::1", "2001:db8::1", "2001:1::1", "2001:1::3", "2001:3::9", "2001:20::1", "2002:101::", "3fff::1", "64:ff9b:1::2", "64:ff9b::8.8.8.8", "100::1", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "1:2:3:4:5:6:7:8", "FF02::1"]
+    urls = {f"http://{f'[{h}]' if ':' in h else h}/x": ipaddress.ip_address(h).is_global for h in hosts}
+    bad = ["http://[1::2::3]/", "http://[12345::]/", "http://[1:2:3]/", "http://[]/", "http://1.2.3/", "http://08.8.8.8/", "http://256.1.1.1/", "ftp://8.8.8.8/", "http:///x", "http://localhost:80/", "http://a.localhost/", ""]
+    urls |= dict.fromkeys(bad, False) | {"https://user:pw@example.com:8443/x": True, "http://u@127.0.0.1/": False, "HTTP://[2001:4860:4860::8888]:80": True}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", V.is_public_url(F.col("u")).alias("ok"))
+    assert {r.u: r.ok for r in got.collect()} == urls
+
+
+def test_source_classes(spark):
+    want = {"https://mp.weixin.qq.com/x": "weixin", " http://sphx.y/1": "weixin", "https://b23.tv/": "bilibili", "http://v.douyin.com:80/a": "douyin", "https://youtu.be": "youtube", "ftp://youtube.com/": "local", "HTTPS://youtube.com/": "local", "/a/b": "local", None: "local", "http://asph.y/": "other"}
+    got = spark.createDataFrame([(u,) for u in want], "u string").select("u", V.source_class(F.col("u")).alias("k"))
+    assert {r.u: r.k for r in got.collect()} == want
+
+
+def test_live_scores_fold_compatible_characters(spark):
+    from docquarry.operators import answering
+
+    chunks = spark.createDataFrame([(1, 1, 0, "a", None, "ＳＫＵ－１２ 政策", [1.0, 0.0]), (1, 2, 0, "b", None, "other text", [1.0, 0.0])], "kb_id long, doc_id long, chunk_index int, chunk_id string, record_id string, content string, embedding array<double>")
+    asked = spark.createDataFrame([(7, 5, 1, 0, "sku12政策", [1.0, 0.0])], "query_id long, owner_id long, kb_id long, kb_order int, question string, query_vector array<double>")
+    kbs = spark.createDataFrame([(1, 5, "kb")], "kb_id long, owner_id long, kb_name string")
+    found = answering.retrieve(answering.prepared_chunks(chunks), asked, kbs, 2).orderBy("position").collect()
+    assert [(r.chunk_id, r.lexical) for r in found] == [("a", 1.0), ("b", 0.0)]
+
+
+@pytest.mark.parametrize(("x", "y"), [("0.000000000001", "0.000000000001"), ("12345678901234567890123.5", "12345678901234567890124"), ("-2.50", "-2.5"), ("0", "0")])
+def test_canonical_numbers(spark, x, y):
+    assert one(spark, x, V.canonical_number) == y
