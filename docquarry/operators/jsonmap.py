@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..functions.unicode import iso_datetime, parsed_datetime
+from ..functions.unicode import parsed_datetime
 
 _STEP = re.compile(r"\.?([A-Za-z_㐀-鿿][\w㐀-鿿]*)|\[(\d+)\]|\[(\*)\]")
 
@@ -78,42 +75,69 @@ def _boxed(v: Column) -> Column:
     return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), v).otherwise(F.parse_json(F.concat(F.lit('{"value":'), F.to_json(v), F.lit("}"))))
 
 
-def _leaves(value: object, path: str, inside: str | None) -> Iterator[tuple]:
-    """(path, container, child_of, values or None, items): one row per leaf or array."""
-    if isinstance(value, dict) and value:
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}" if path else k, inside)
-    elif isinstance(value, list):
-        nests = any(isinstance(x, (dict, list)) for x in value)
-        yield path, "array", inside, None if nests else value, len(value)
-        if nests:
-            for x in value:
-                yield from _leaves(x, path, path.rsplit(".", 1)[-1])
-    else:
-        yield path, "object" if isinstance(value, dict) else "scalar", inside, [] if isinstance(value, dict) else [value], 0
+def _holds(v: Column) -> Column:
+    """Whether a variant is an object or an array."""
+    kind = F.schema_of_variant(v)
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
+def depth(rows: DataFrame, json_column: str = "value") -> int:
+    """How deeply containers nest in any of the JSON texts: brackets outside of strings, counted.
+    The one number that reaches the driver."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(json_column), r"(?s)\\.", ""), r'"[^"]*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda a, c: F.when(c.isin("[", "{"), F.struct((a.now + 1).alias("now"), F.greatest(a.most, a.now + 1).alias("most"))).when(c.isin("]", "}"), F.struct((a.now - 1).alias("now"), a.most.alias("most"))).otherwise(a)
+    return rows.agg(F.max(F.aggregate(marks, start, step, lambda a: a.most))).first()[0] or 0
 
 
 def leaves(rows: DataFrame, json_column: str = "value") -> DataFrame:
     """One row per observed element: (path, container, child_of, seen, nested, items, is_null,
-    canon, length, is_date, example). ``seen`` marks the first row of each observation."""
-    schema = "path string, container string, child_of string, seen int, nested int, items int, is_null int, canon string, length int, is_date int, example string"
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for text in f.iloc[:, 0]:
-                for path, kind, inside, values, items in _leaves(json.loads(text), "", None):
-                    if not values:
-                        out.append((path, kind, inside, 1, int(values is None), items if values is None else 0, None, None, None, None, None if values is None else f"<empty-{kind}>"))
-                    for i, v in enumerate(values or ()):
-                        is_text = isinstance(v, str)
-                        canon = None if v is None else f"{type(v).__name__ if isinstance(v, (bool, str)) else 'num'}:{v}"
-                        date = int(iso_datetime(v) is not None) if is_text else None
-                        shown = None if v is None or (is_text and not v.strip()) else (str(v).lower() if isinstance(v, bool) else str(v))[:200]
-                        out.append((path, kind, inside, int(i == 0), 0, 1 if kind == "array" or v is not None else 0, int(v is None), canon, len(v) if is_text else None, date, shown))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.select(json_column).mapInPandas(run, schema)
+    canon, length, is_date, example). ``seen`` marks the first row of each observation.
+
+    Containers are opened level by level, each level one generator over variants in the same
+    stage, as many as the deepest text needs; what is a leaf already passes through. An array
+    that holds containers also gives a row of its own, which travels with its first element.
+    Null texts give nothing; a text that does not parse fails the job, and so does an object
+    with a name twice. Numbers that are equal count as one value."""
+    own = "array<struct<path:string,child_of:string,items:int>>"
+    level = rows.where(F.col(json_column).isNotNull()).select(
+        F.lit("").alias("path"), F.lit("scalar").alias("container"), F.lit(None).cast("string").alias("child_of"), F.lit(True).alias("first"), F.array().cast(own).alias("own"), F.parse_json(json_column).alias("v"),
+    )
+    spark = rows.sparkSession
+    for _ in range(depth(rows, json_column)):
+        kind, items = F.schema_of_variant("v"), F.try_variant_get("v", "$", "array<variant>")
+        nests = F.exists(items, _holds)
+        at = level.select("*", kind.startswith("ARRAY").alias("is_array"), F.coalesce(nests, F.lit(False)).alias("nests"), F.coalesce(F.size(items), F.lit(0)).alias("n"))
+        opened = at.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+        inside = F.col("pos").isNotNull()
+        below = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        mark = F.array(F.struct("path", "child_of", F.col("n").alias("items")).cast("struct<path:string,child_of:string,items:int>"))
+        level = opened.select(
+            F.when(inside & ~F.col("is_array"), below).otherwise(F.col("path")).alias("path"),
+            F.when(~inside, F.col("container")).when(F.col("is_array") & ~F.col("nests"), "array").otherwise("scalar").alias("container"),
+            F.when(inside & F.col("nests"), F.substring_index("path", ".", -1)).otherwise(F.col("child_of")).alias("child_of"),
+            F.when(inside, ~(F.col("is_array") & ~F.col("nests")) | (F.col("pos") == 0)).otherwise(F.col("first")).alias("first"),
+            F.when(F.coalesce("pos", F.lit(0)) > 0, F.array().cast(own)).when(inside & F.col("nests"), F.concat("own", mark)).otherwise(F.col("own")).alias("own"),
+            F.coalesce("value", "v").alias("v"),
+        )
+    kind = F.schema_of_variant("v")
+    empty = F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
+    text = F.try_variant_get("v", "$", "string")
+    is_text, none = kind == "STRING", lambda t: F.lit(None).cast(t)
+    word = F.when(kind == "BOOLEAN", F.concat(F.lit("bool:"), text)).when(is_text, F.concat(F.lit("str:"), text)).otherwise(F.concat(F.lit("num:"), text))
+    full = F.when(empty.isNull() & (kind != "VOID"), word)
+    example = F.when(empty.isNotNull(), F.concat(F.lit("<empty-"), empty, F.lit(">"))).when(~(is_text & (T.strip(text) == "")), F.substring(text, 1, 200))
+    leaf = F.struct(
+        F.col("path").alias("path"), F.coalesce(empty, F.col("container")).alias("container"), F.col("child_of").alias("child_of"), F.col("first").cast("int").alias("seen"), F.lit(0).alias("nested"),
+        F.when(empty.isNotNull(), 0).otherwise(((F.col("container") == "array") | (kind != "VOID")).cast("int")).alias("items"), F.when(empty.isNull(), (kind == "VOID").cast("int")).alias("is_null"),
+        full.alias("canon"), F.when(is_text, F.char_length(text)).alias("length"), F.when(is_text, V.is_iso_datetime(text).cast("int")).alias("is_date"), example.alias("example"),
+    )
+    whole = F.transform("own", lambda o: F.struct(
+        o.path.alias("path"), F.lit("array").alias("container"), o.child_of.alias("child_of"), F.lit(1).alias("seen"), F.lit(1).alias("nested"), o["items"].alias("items"), none("int").alias("is_null"),
+        none("string").alias("canon"), none("int").alias("length"), none("int").alias("is_date"), none("string").alias("example"),
+    ))
+    return level.select(F.inline(F.concat(whole, F.array(leaf))))
 
 
 def profile(rows: DataFrame, json_column: str = "value") -> DataFrame:
