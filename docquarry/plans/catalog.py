@@ -624,4 +624,4 @@ def run_verify_order_free(spark, d):
     return retrieval.order_free_digest(table(spark, d, "documents").select(F.sha2("text", 256).alias("h")), "h")
 
 
-from . import catalog_more, catalog_records, catalog_stored  # noqa: E402, F401  more entries of the same catalogue
+from . import catalog_more, catalog_outputs, catalog_records, catalog_stored  # noqa: E402, F401  more entries of the same catalogue
