@@ -29,9 +29,13 @@ def to_number(c: Column) -> Column:
 
 
 def canonical_number(c: Column) -> Column:
-    """A decimal as text without an exponent or trailing zeros."""
-    text = F.coalesce(c.try_cast("decimal(38,18)").cast("string"), c.try_cast("decimal(38,0)").cast("string"))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """A decimal, or its text, as text without an exponent or trailing zeros. Texts without an exponent
+    keep all digits; with one, what a decimal of 18 places (or of none) holds."""
+    t = strip(c.cast("string"))
+    at = F.coalesce(t.try_cast("decimal(38,18)").cast("string"), t.try_cast("decimal(38,0)").cast("string"))
+    text = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0*(?=\.)", "$10")).otherwise(at)
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""), r"^(-?)0+(?=\d)", "$1")
+    return F.when(short == "-0", "0").otherwise(short)
 
 
 def utc_datetime(c: Column) -> Column:
@@ -47,7 +51,7 @@ def filter_value(kind: Column, value: Column, folded: Column | None = None) -> C
     strings are compared by; without it they are taken as they are."""
     number, at = value.try_cast("double"), utc_datetime(value)
     norm = (
-        F.when(kind == "null", "").when(kind == "number", canonical_number(value.try_cast("decimal(38,10)"))).when(kind == "boolean", F.lower(value))
+        F.when(kind == "null", "").when(kind == "number", canonical_number(value)).when(kind == "boolean", F.lower(value))
         .when(kind == "datetime", at).otherwise(value if folded is None else folded)
     )
     return F.when(

@@ -184,3 +184,46 @@ def recent_first(rows: DataFrame, updated: str, name: str, n: int = 50) -> DataF
 
 def has_repeats(ids: Column) -> Column:
     return F.size(F.array_distinct(ids)) < F.size(ids)
+
+
+def clamped_page(rows: DataFrame, order: Sequence[str | Column], number: int, size: int) -> DataFrame:
+    """A page, or the last one where ``number`` lies behind it, or the first where it lies before.
+    The rows are counted for that; an empty table has one empty page."""
+    last = max(1, -(-rows.count() // size))
+    return page(rows, order, min(max(number, 1), last), size)
+
+
+def completed_messages(messages: DataFrame) -> DataFrame:
+    return messages.where(F.col("status") == "completed")
+
+
+def present_documents(docs: DataFrame, gone: Sequence[str] = ("deleting", "deleted")) -> DataFrame:
+    """Documents that are not on their way out; one without a status is there."""
+    return docs.where(~F.coalesce(F.col("status").isin(*gone), F.lit(False)))
+
+
+def enabled_kbs(kbs: DataFrame) -> DataFrame:
+    return kbs.where(F.coalesce("enabled", F.lit(False)))
+
+
+def may_create_first_admin(users: DataFrame) -> DataFrame:
+    """One row: whether there is no user yet."""
+    return users.agg(F.count("*").alias("n_users")).withColumn("allowed", F.col("n_users") == 0)
+
+
+def guarded_versions(versions: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Versions with ``n_uses`` and ``immutable``: a version that any document's mapping uses cannot change."""
+    uses = mappings.where("version_id is not null").groupBy("version_id").agg(F.count("*").alias("n_uses"))
+    n = F.coalesce("n_uses", F.lit(0))
+    return versions.join(uses, "version_id", "left").withColumns({"n_uses": n, "immutable": n > 0})
+
+
+def linked_kbs(conversations: DataFrame, links: DataFrame, kbs: DataFrame) -> DataFrame:
+    """Conversations with the different knowledge bases that they are linked to, by id: ``kb_ids``,
+    ``kb_names`` (null where one is not among ``kbs``) and the first as ``kb_id``. Empty lists and null without links."""
+    named = links.select("conv_id", "kb_id").distinct().join(kbs.select("kb_id", "kb_name"), "kb_id", "left")
+    own = named.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("kb_id", "kb_name"))).alias("__kbs"))
+    both = conversations.join(own, "conv_id", "left")
+    none = F.array().cast(own.schema["__kbs"].dataType)
+    kb = F.coalesce("__kbs", none)
+    return both.withColumns({"kb_ids": F.transform(kb, lambda k: k.kb_id), "kb_names": F.transform(kb, lambda k: k.kb_name), "kb_id": F.get(kb, 0).kb_id}).drop("__kbs")

@@ -194,6 +194,12 @@ def eav_filter(attributes: DataFrame, predicates: Sequence[tuple[str, str, objec
     return met.groupBy(key).agg(*(v.alias(k) for k, v in flags.items())).where(" and ".join(f"{k} = 1" for k in flags)).select(key)
 
 
+def filter_ids(attributes: DataFrame, predicates: Sequence[tuple[str, str, object]] | None, key: str = "chunk_id") -> DataFrame | None:
+    """Ids for ``search_index``: None (no filter) without predicates, else those that meet all,
+    which may be none at all and then let no hit through."""
+    return eav_filter(attributes, predicates, key).withColumnRenamed(key, "id") if predicates else None
+
+
 def _kind(v: object) -> str:
     return "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "datetime"
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.citations import citation_numbers
-from ..operators import jsonmap, outputs
+from ..operators import jsonmap, outputs, relational
 from ..session import shared_dir, table
 from ..sources import uploads
 from .catalog import query
@@ -85,3 +85,36 @@ def run_output_tables(spark, d):
     shown = references.groupBy("message_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("snippet")), "\n"), 256).alias("snippets_sha256"))
     state = logs.select(F.explode(F.array("user_message_id", "assistant_message_id")).alias("message_id"), "result_status")
     return messages.join(shown, "message_id", "left").join(state, "message_id").select("conv_id", "role", "content", "status", "sequence", "error_code", "snippets_sha256", "result_status")
+
+
+@query("""
+SELECT p_partkey AS conv_id, coalesce(ids, '') AS kb_ids, coalesce(names, '') AS kb_names, kb_id FROM part LEFT JOIN (
+  SELECT l_partkey, string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_suppkey) AS ids, string_agg(coalesce(s_name, '-'), ',' ORDER BY l_suppkey) AS names, min(l_suppkey) AS kb_id
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey GROUP BY l_partkey) ON l_partkey = p_partkey
+""")
+def linked_suppliers(spark, d):
+    """Parts as conversations, their suppliers as knowledge bases; only those with a balance are enabled."""
+    kbs = relational.enabled_kbs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("kb_id"), F.col("s_name").alias("kb_name"), (F.col("s_acctbal") > 0).alias("enabled")))
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("conv_id"), F.col("l_suppkey").alias("kb_id"))
+    found = relational.linked_kbs(table(spark, d, "part").select(F.col("p_partkey").alias("conv_id")), links, kbs)
+    return found.select("conv_id", F.concat_ws(",", F.col("kb_ids").cast("array<string>")).alias("kb_ids"), F.concat_ws(",", F.transform("kb_names", lambda n: F.coalesce(n, F.lit("-")))).alias("kb_names"), "kb_id")
+
+
+@query("""
+SELECT c_custkey AS version_id, count(o_orderkey)::BIGINT AS n_uses, count(o_orderkey) > 0 AS immutable FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_custkey = c_custkey GROUP BY c_custkey
+UNION ALL SELECT -1, count(*), count(*) = 0 FROM customer
+""")
+def usage_guards(spark, d):
+    """Versions (customers) with their uses (orders that are not being deleted), and the guard of the first account."""
+    customers = table(spark, d, "customer")
+    docs = relational.present_documents(table(spark, d, "orders").select(F.col("o_custkey").alias("version_id"), F.when(F.col("o_orderstatus") == "P", "deleting").otherwise("done").alias("status")))
+    guarded = relational.guarded_versions(customers.select(F.col("c_custkey").alias("version_id")), docs)
+    first = relational.may_create_first_admin(customers).select(F.lit(-1).alias("version_id"), F.col("n_users").alias("n_uses"), F.col("allowed").alias("immutable"))
+    return guarded.unionByName(first)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET (SELECT greatest(0, (count(*) - 1) // 25 * 25) FROM orders WHERE o_orderstatus = 'F')")
+def last_page_of_completed(spark, d):
+    """A page far behind the end of the completed orders is their last page."""
+    rows = relational.completed_messages(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", "completed").otherwise("streaming").alias("status")))
+    return relational.clamped_page(rows, [F.desc("o_orderdate"), "o_orderkey"], 1_000_000_000, 25).select("o_orderkey", "o_custkey")

@@ -32,16 +32,18 @@ class Part(WriterCommitMessage):
     refused: int
 
 
-def _publish(target: Path, blocks: Iterator[bytes]) -> None:
-    """Write ``blocks`` beside ``target`` and rename it into place."""
+def _publish(target: Path, blocks: Iterator[bytes], synced: bool = True) -> None:
+    """Write ``blocks`` beside ``target`` and rename it into place; ``synced`` waits for the disk, as
+    manifests and commits do, once a task or job."""
     target.parent.mkdir(parents=True, exist_ok=True)
     temporary = target.with_name(f".{uuid.uuid4().hex}")
     try:
         with temporary.open("wb") as f:
             for block in blocks:
                 f.write(block)
-            f.flush()
-            os.fsync(f.fileno())
+            if synced:
+                f.flush()
+                os.fsync(f.fileno())
         os.replace(temporary, target)
     finally:
         temporary.unlink(missing_ok=True)
@@ -76,7 +78,7 @@ class _Writer(DataSourceWriter):
                     stored = f"{key[:2]}/{key[2:4]}/{key}{extension if re.fullmatch(r'[.][A-Za-z0-9]{1,16}', extension) else '.txt'}"
                     target = self.root / "blobs" / stored
                     if not (target.exists() and target.stat().st_size == len(content)):
-                        _publish(target, _blocks(content))
+                        _publish(target, _blocks(content), synced=False)
                     entry |= {"stored": stored, "sha256": key}
                     files += 1
                 yield (json.dumps(entry, ensure_ascii=False) + "\n").encode()

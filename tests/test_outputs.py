@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions.citations import citation_numbers
-from docquarry.operators import outputs
+from docquarry.functions import values as V
+from docquarry.operators import outputs, relational, retrieval
 from docquarry.sources import library, uploads
 
 CITED = [
@@ -130,3 +131,31 @@ def test_outputs_of_nothing(spark, tmp_path):
     assert outputs.read_outputs(spark, str(tmp_path), "logs") is None
     assert outputs.write_outputs(out, 0, str(tmp_path)) and not outputs.write_outputs(out, 0, str(tmp_path))
     assert [outputs.read_outputs(spark, str(tmp_path), t).count() for t in outputs.TABLES] == [0, 0, 0]
+
+
+def test_pages_guards_and_links(spark):
+    rows = spark.range(7)
+    ids = lambda n: [r.id for r in relational.clamped_page(rows, ["id"], n, 3).collect()]
+    assert (ids(1), ids(3), ids(9), ids(0)) == ([0, 1, 2], [6], [6], [0, 1, 2]) and relational.clamped_page(rows.where("id < 0"), ["id"], 5, 3).count() == 0
+    docs = spark.createDataFrame([(1, "done"), (2, "deleting"), (3, None)], "id int, status string")
+    assert [r.id for r in relational.present_documents(docs).orderBy("id").collect()] == [1, 3] and relational.completed_messages(docs).count() == 0
+    assert [r.kb_id for r in relational.enabled_kbs(spark.createDataFrame([(1, True), (2, False), (3, None)], "kb_id int, enabled boolean")).collect()] == [1]
+    assert relational.may_create_first_admin(docs.where("false")).first().allowed and not relational.may_create_first_admin(docs).first().allowed
+    versions = relational.guarded_versions(spark.createDataFrame([(1,), (2,)], "version_id int"), spark.createDataFrame([(1,), (1,), (None,)], "version_id int"))
+    assert sorted(map(tuple, versions.collect())) == [(1, 2, True), (2, 0, False)]
+    linked = relational.linked_kbs(spark.createDataFrame([(1,), (2,)], "conv_id int"), spark.createDataFrame([(1, 9), (1, 4), (1, 9)], "conv_id int, kb_id int"), spark.createDataFrame([(9, "nine")], "kb_id int, kb_name string"))
+    assert sorted((r.conv_id, r.kb_ids, r.kb_names, r.kb_id) for r in linked.collect()) == [(1, [4, 9], [None, "nine"], 4), (2, [], [], None)]
+
+
+def test_three_states_of_a_filter(spark):
+    rows = spark.createDataFrame([("a", ["x"]), ("b", ["x"])], "id string, content array<string>").selectExpr("*", "'c' as collection_id", "'active' as state", "'r' as ingest_run_id")
+    eav = spark.createDataFrame([("a", "lang", "string", "en", None, None)], "chunk_id string, field_name string, value_type string, normalized_value string, numeric_value double, datetime_value string")
+    terms = spark.createDataFrame(retrieval.match_terms(["x"]), "query_id int, group_id int, term string")
+    hits = lambda p: sorted(r.id for r in retrieval.bm25(rows, terms, {"content": 1.0}, 9, ids=retrieval.filter_ids(eav, p)).collect())
+    assert (hits(None), hits([]), hits([("lang", "eq", "en")]), hits([("lang", "eq", "xx")])) == (["a", "b"], ["a", "b"], ["a"], [])
+
+
+def test_canonical_numbers_keep_all_digits(spark):
+    cases = {"1.50": "1.5", "0.123456789012345678901234567890": "0.12345678901234567890123456789", "1e3": "1000", "-0.0": "0", "007": "7", "+.50": "0.5", "-.5": "-0.5", "100": "100", "5.": "5", "1.5e-3": "0.0015", "9" * 50: "9" * 50, "x": None, "0": "0", "-12.340": "-12.34"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", V.canonical_number(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == cases
