@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import one_spaced, sentences, strip
 from ..functions.values import clock, clock_seconds
+from .retrieval import is_small
 
 
 def caption_cues(files: DataFrame, key: str = "media_id", vtt: str = "vtt") -> DataFrame:
@@ -226,7 +227,7 @@ def library(states: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per video of several library roots (root, name, and nullable columns): the first
     root by ``priority`` wins where it has a value."""
     rest = [c for c in states.columns if c not in ("root", "name")]
-    ranked = states.join(F.broadcast(roots), "root")
+    ranked = states.join(F.broadcast(roots) if is_small(roots) else roots, "root")
     return ranked.groupBy("name").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("priority"))).alias(c) for c in rest))
 
 

@@ -62,7 +62,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l
 """)
 def vector_multi_collection_merge(spark, d):
     e, q = _vectors(spark, d)
-    hits = e.crossJoin(F.broadcast(q)).withColumn("score", retrieval.cosine(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
+    hits = e.crossJoin(F.broadcast(q) if retrieval.is_small(q) else q).withColumn("score", retrieval.cosine(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
     w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     return retrieval.merge_collections(ranked, 5, "label").select("query_id", "position", "id", "label", six(F.col("score")).alias("score"))
@@ -85,7 +85,7 @@ def dice_rescore(spark, d):
     q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), plain("text").alias("q"))
     t = table(spark, d, "documents").select("doc_id", plain("text").alias("t"))
     q, t = q.withColumn("qb", T.bigrams(F.col("q"))), t.withColumn("tb", T.bigrams(F.col("t")))
-    s = t.crossJoin(F.broadcast(q)).select("query_id", "doc_id", T.dice(F.col("q"), F.col("t"), F.col("qb"), F.col("tb")).alias("lexical"))
+    s = t.crossJoin(F.broadcast(q) if retrieval.is_small(q) else q).select("query_id", "doc_id", T.dice(F.col("q"), F.col("t"), F.col("qb"), F.col("tb")).alias("lexical"))
     w = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").withColumn("lexical", six(F.col("lexical")))
 
