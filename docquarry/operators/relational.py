@@ -227,3 +227,13 @@ def linked_kbs(conversations: DataFrame, links: DataFrame, kbs: DataFrame) -> Da
     none = F.array().cast(own.schema["__kbs"].dataType)
     kb = F.coalesce("__kbs", none)
     return both.withColumns({"kb_ids": F.transform(kb, lambda k: k.kb_id), "kb_names": F.transform(kb, lambda k: k.kb_name), "kb_id": F.get(kb, 0).kb_id}).drop("__kbs")
+
+
+def saved_versions(versions: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Where each incoming definition (template_id, fingerprint, one a template) is kept: the template's
+    newest version if that has the same fingerprint (``created`` false), else one more than
+    the newest. ``versions`` (template_id, version, fingerprint); an older version is never taken up again."""
+    newest = versions.groupBy("template_id").agg(F.max(F.struct("version", "fingerprint")).alias("__last"))
+    both = incoming.join(newest, "template_id", "left")
+    same = F.coalesce(F.col("__last.fingerprint") == F.col("fingerprint"), F.lit(False))
+    return both.withColumns({"version": F.coalesce("__last.version", F.lit(0)) + F.when(same, 0).otherwise(1), "created": ~same}).drop("__last")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import citation_numbers
@@ -118,3 +119,18 @@ def last_page_of_completed(spark, d):
     """A page far behind the end of the completed orders is their last page."""
     rows = relational.completed_messages(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", "completed").otherwise("streaming").alias("status")))
     return relational.clamped_page(rows, [F.desc("o_orderdate"), "o_orderkey"], 1_000_000_000, 25).select("o_orderkey", "o_custkey")
+
+
+@query("""
+WITH v AS (SELECT o_custkey AS k, o_orderpriority AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+l AS (SELECT k, max(n) AS n, arg_max(f, n) AS f FROM v GROUP BY k),
+i AS (SELECT c_custkey AS template_id, CASE c_mktsegment WHEN 'BUILDING' THEN '1-URGENT' WHEN 'MACHINERY' THEN '2-HIGH' ELSE '5-LOW' END AS fingerprint FROM customer)
+SELECT template_id, fingerprint, (coalesce(n, 0) + CASE WHEN f = fingerprint THEN 0 ELSE 1 END)::BIGINT AS version, coalesce(f <> fingerprint, true) AS created FROM i LEFT JOIN l ON k = template_id
+""")
+def saved_template_versions(spark, d):
+    """Customers save a definition each; their orders are the versions so far."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    versions = table(spark, d, "orders").select(F.col("o_custkey").alias("template_id"), n.alias("version"), F.col("o_orderpriority").alias("fingerprint"))
+    wanted = F.when(F.col("c_mktsegment") == "BUILDING", "1-URGENT").when(F.col("c_mktsegment") == "MACHINERY", "2-HIGH").otherwise("5-LOW")
+    incoming = table(spark, d, "customer").select(F.col("c_custkey").alias("template_id"), wanted.alias("fingerprint"))
+    return relational.saved_versions(versions, incoming).select("template_id", "fingerprint", "version", "created")

@@ -159,3 +159,10 @@ def test_canonical_numbers_keep_all_digits(spark):
     cases = {"1.50": "1.5", "0.123456789012345678901234567890": "0.12345678901234567890123456789", "1e3": "1000", "-0.0": "0", "007": "7", "+.50": "0.5", "-.5": "-0.5", "100": "100", "5.": "5", "1.5e-3": "0.0015", "9" * 50: "9" * 50, "x": None, "0": "0", "-12.340": "-12.34"}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", V.canonical_number(F.col("t")).alias("n"))
     assert {r.t: r.n for r in df.collect()} == cases
+
+
+def test_versions_are_used_again_by_fingerprint(spark):
+    versions = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "template_id int, version int, fingerprint string")
+    incoming = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, None)], "template_id int, fingerprint string")
+    got = sorted((r.template_id, r.version, r.created) for r in relational.saved_versions(versions, incoming).collect())
+    assert got == [(1, 3, True), (2, 1, False), (3, 1, True), (4, 1, True)]
