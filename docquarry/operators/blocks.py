@@ -38,7 +38,7 @@ def best_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, group: Sequen
     if group:
         bins = -(-vectors.count() // BLOCK_ROWS) or 1
         sizes = own.join(theirs, group).withColumn("__bin", F.pmod(F.xxhash64(*group), F.lit(bins)))
-        sizes = F.broadcast(sizes) if sizes.limit(FEW + 1).count() <= FEW else sizes
+        sizes = F.broadcast(sizes) if own.limit(FEW + 1).count() <= FEW else sizes
         beside = lambda df: df.join(sizes, group)
     else:
         sizes = F.broadcast(own.crossJoin(theirs).where("__subs > 0 and __blocks > 0").withColumn("__bin", F.lit(0).cast("long")))  # one row

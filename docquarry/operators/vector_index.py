@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.segments import Segments
-from .retrieval import cosine, is_small
+from .blocks import best_by_cosine
+from .retrieval import cosine
 
 ROWS = "id {0}, embedding array<double>, near double, segment long, cell int"
 #: Cell of vectors without a length (their cosine is 0); every search looks into it.
@@ -96,40 +97,36 @@ class VectorIndex:
         self.store.log.commit(state | {"segments": [{"rows": name, "number": number}], "gone": [], "gone_rows": 0, "next": number + 1}, version)
 
     def _near_cells(self, queries: DataFrame) -> DataFrame:
-        """(query_id, query_vector, cell, place, angle) of every query and cell, nearest first."""
+        """(query_id, cell, place, angle) of every query and cell, nearest first."""
         unit = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
         each = unit.crossJoin(F.broadcast(self.centroids()))  # at most 4096 rows
-        each = each.withColumn("angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(F.col("query_vector"), F.col("centroid")))))).drop("centroid")
+        cos = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(F.col("query_vector"), F.col("centroid"))))
+        each = each.select("query_id", "cell", F.acos(cos).alias("angle"))
         return each.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("angle", "cell")))
 
-    def _scored(self, rows: DataFrame, wanted: DataFrame, top_k: int) -> DataFrame:
-        hits = rows.join(wanted.select("query_id", "query_vector", "cell"), "cell")
-        hits = hits.select("query_id", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
-        return _best(hits, top_k)
-
     def search(self, queries: DataFrame, top_k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
         """(query_id, id, score, rank) of the best ``top_k`` by cosine for ``queries`` (query_id, query_vector),
         ties by id: among the ``probes`` nearest cells (``tune`` finds how many; 16 by default), or, with ``exact``, of all.
 
-        Few queries (counted) are broadcast with their cells, so rows stay where they are; more
-        meet the cells by a shuffle, where adaptive execution splits large cells."""
+        Cells and the queries that want them meet in blocks (``blocks.best_by_cosine``), so
+        neither the number of queries nor a large cell brings much into one task."""
         _, state = self.store.state()
-        rows = self._rows(state).drop("segment")
-        few = F.broadcast if is_small(queries) else lambda df: df
+        rows = self._rows(state).select("id", "embedding", "near", "cell")
+        asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+        scored = lambda wanted: best_by_cosine(rows.drop("near"), asked, top_k, ["cell"], wanted=wanted).select("query_id", "id", "score")
         probes = probes or state["extra"].get("probes", 16)
         cells = self._near_cells(queries)
-        always = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"), F.lit(NO_LENGTH).alias("cell"))
-        first = cells.where(F.col("place") <= probes).select("query_id", "query_vector", "cell").unionByName(always)
-        found = self._scored(rows, few(first), top_k)
+        always = queries.select("query_id", F.lit(NO_LENGTH).alias("cell"))
+        found = _best(scored(cells.where(F.col("place") <= probes).select("query_id", "cell").unionByName(always)), top_k)
         if not exact:
             return found
         # A vector of a cell is at most the cell's widest angle from its centroid, so it is at least the
         # difference of the angles from the query.
         wide = rows.where(F.col("cell") != NO_LENGTH).groupBy("cell").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("near")))).alias("wide"))
         floor = found.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("floor"))
-        more = cells.where(F.col("place") > probes).join(F.broadcast(wide), "cell").join(few(floor), "query_id", "left")
+        more = cells.where(F.col("place") > probes).join(F.broadcast(wide), "cell").join(floor, "query_id", "left")
         more = more.where(F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("wide") - 1e-7)) >= F.coalesce("floor", F.lit(-2.0)) - 1e-9)
-        return _best(found.drop("rank").unionByName(self._scored(rows, few(more), top_k).drop("rank")), top_k)
+        return _best(found.drop("rank").unionByName(scored(more.select("query_id", "cell"))), top_k)
 
     def tune(self, recall: float = 0.9, top_k: int = 10, asked: int = 200) -> tuple[int, float]:
         """Find and keep the fewest probes that reach ``recall``: ``asked`` vectors of the index (by hash) are searched

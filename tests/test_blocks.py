@@ -67,3 +67,8 @@ def test_more_queries_than_a_broadcast_takes(spark):
 def test_collections_merge_without_scoring_rows_one_by_one(spark):
     plan = QUERIES["vector_multi_collection_merge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "aggregate(zip_with" not in plan
+
+
+@pytest.mark.parametrize("name", ["vector_index_exact", "vector_index_probed"])
+def test_cells_meet_queries_in_blocks(spark, name):
+    assert "FlatMapCoGroupsInArrow" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
