@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, letters_and_digits, one_spaced, slices, strip, token_estimate
 from ..functions.unicode import nfkc
+from .blocks import best_by_cosine
 from .conversation import prompt_sources, truncated_history
 from .retrieval import candidates, cosine, first_per_record, hybrid_rescore, is_small
 
@@ -25,11 +26,14 @@ def retrieve(prepared: DataFrame, questions: DataFrame, kbs: DataFrame, top_k: i
 
     Per knowledge base: candidates by cosine, the inclusive threshold, hybrid scores, one hit
     per record. Then all lists of a question are one: by score, knowledge-base order, rank."""
-    owned = questions.join(kbs, ["kb_id", "owner_id"])  # before anything is read from an index
-    q = owned.withColumn("query_text", letters_and_digits(nfkc(F.col("question")))).withColumn("query_text_pairs", bigrams(F.col("query_text"))).drop("question")
-    hits = prepared.join(F.broadcast(q) if is_small(questions) else q, "kb_id").withColumn("score", cosine(F.col("embedding"), F.col("query_vector"))).drop("query_vector", "owner_id")
+    owned = questions.join(kbs, ["kb_id", "owner_id"]).drop("owner_id")  # before anything is read from an index
+    # Ids and scores are ranked; only the candidates meet their texts, which are prepared for them alone.
+    hits = best_by_cosine(prepared.select("kb_id", "id", "embedding"), owned, candidates(top_k), ["kb_id"], threshold)
     w = Window.partitionBy("query_id", "kb_id").orderBy(F.desc("score"), "id")
-    near = hits.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= candidates(top_k)) & (F.col("score") >= threshold))
+    near = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= candidates(top_k))
+    few = F.broadcast if is_small(questions) else lambda df: df
+    texts = prepared.join(few(near.select("kb_id", "id").distinct()), ["kb_id", "id"], "left_semi")
+    near = near.withColumn("query_text", letters_and_digits(nfkc(F.col("question")))).drop("question").join(texts, ["kb_id", "id"])
     scored = hybrid_rescore(near, "query_text", "plain").drop("query_text", "plain")
     record = scored.withColumn("record", F.coalesce("record_id", "chunk_id"))
     own = first_per_record(record, ["doc_id", "record"], top_k, "rank_score", ["query_id", "kb_id"]).drop("rank").withColumnRenamed("position", "rank")

@@ -72,3 +72,9 @@ def test_collections_merge_without_scoring_rows_one_by_one(spark):
 @pytest.mark.parametrize("name", ["vector_index_exact", "vector_index_probed"])
 def test_cells_meet_queries_in_blocks(spark, name):
     assert "FlatMapCoGroupsInArrow" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_candidates_meet_their_texts(spark):
+    """Texts were carried through the ranking of all pairs before."""
+    plan = QUERIES["retrieve_and_expand"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "LeftSemi" in plan
