@@ -78,3 +78,8 @@ def test_only_candidates_meet_their_texts(spark):
     """Texts were carried through the ranking of all pairs before."""
     plan = QUERIES["retrieve_and_expand"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "LeftSemi" in plan
+
+
+def test_hybrid_rank_asks_only_what_has_a_text(spark):
+    plan = QUERIES["hybrid_rank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "LeftSemi" in plan
