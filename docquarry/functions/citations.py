@@ -13,8 +13,9 @@ _CODE = r"```(?:(?!```)[\s\S])*+(?:```|\z)|`[^`\n]++`"
 _SPECIAL = r"<!--(?:(?!-->)[\s\S])*+(?:-->|\z)|<!\[CDATA\[(?:(?!\]\]>)[\s\S])*+(?:\]\]>|\z)|<\?(?:(?!\?>)[\s\S])*+(?:\?>|\z)|<![^>]*+(?:>|\z)"
 _TAG = r"</?[A-Za-z][A-Za-z0-9:-]*+(?=[\s/>])(?:[^>\"']++|\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"
 _LINK = r"!?\[(?:[^\[\]]|\[[^\[\]]*+\])*+\]\([^()\s]*+(?:\s++\"[^\"]*+\")?\)|https?://[^\s<>【】]++"
-#: The leftmost match wins, so a mark inside a protected span is never looked at.
-_TOKEN = f"{_CODE}|{_SPECIAL}|{_TAG}|{_LINK}|{CITATION}"
+#: The leftmost match wins, so a mark inside a protected span is never looked at. Where none
+#: can begin, one class says so.
+_TOKEN = f"(?=[`<!\\[h【])(?:{_CODE}|{_SPECIAL}|{_TAG}|{_LINK}|{CITATION})"
 
 
 def citation_numbers(c: Column, count: Column) -> Column:
