@@ -82,7 +82,7 @@ def sentences(c: Column) -> Column:
     """Sentences with their closing marks, stripped. Runs of marks or line ends close one, and
     so do full stops before white space or the end; what would have one visible character at
     most goes to the next. A text without any is its own one sentence."""
-    parts = F.regexp_extract_all(c, F.lit(f"(?U)(?s).+?(?:[{SENTENCE_END}\n]+|\\.+(?=\\s|\\z)|\\z)"), F.lit(0))
+    parts = _sentence_parts(c)
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -94,6 +94,26 @@ def sentences(c: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(strip(c)))
 
 
+def _sentence_parts(c: Column) -> Column:
+    """Pieces up to and with their closing marks. Runs of other characters are taken at once, and
+    a full stop is looked at where it stands only."""
+    inside = f"(?:[^{SENTENCE_END}\n.]++|\\.(?!\\.*+(?:\\s|\\z)))*+"
+    return F.regexp_extract_all(c, F.lit(f"(?U)(?s).{inside}(?:[{SENTENCE_END}\n]++|\\.++(?=\\s|\\z)|\\z)"), F.lit(0))
+
+
+def sentence_count(c: Column) -> Column:
+    """The number of ``sentences``, without making them: the fold carries what is open and a number."""
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("done"))
+
+    def step(acc: Column, part: Column) -> Column:
+        now = F.concat(acc.open, part)
+        closed = now.rlike(r"(?U)\S\s*+\S")  # two visible characters
+        return F.struct(F.when(closed, "").otherwise(now).alias("open"), (acc.done + closed.cast("int")).alias("done"))
+
+    found = F.aggregate(_sentence_parts(c), start, step, lambda acc: acc.done + acc.open.rlike(r"(?U)\S").cast("int"))
+    return F.greatest(found, F.lit(1))  # named once, so computed once
+
+
 def topic_slices(c: Column, size: int = 500) -> Column:
     """Retrieval entries of a topic: its distinct sentences, cut to ``size`` characters."""
     parts = F.transform(F.split(c, r"[\n。！？；]+"), lambda s: F.btrim(s, F.lit(" ，。！？；:：")))
@@ -139,9 +159,9 @@ def citations(c: Column, count: Column) -> Column:
 def bigrams(c: Column) -> Column:
     """The different pairs of neighbouring characters; the text is cut into characters once, so
     the cost is linear."""
-    chars = F.regexp_extract_all(c, F.lit("(?s).(?=(.))?"), F.lit(0))
-    nexts = F.regexp_extract_all(c, F.lit("(?s).(?=(.))?"), F.lit(1))
-    return F.array_distinct(F.filter(F.zip_with(chars, nexts, lambda a, b: F.when(b != "", F.concat(a, b))), lambda x: x.isNotNull()))
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    pairs = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), pairs), F.slice(chars, F.lit(2), pairs), lambda a, b: F.concat(a, b)))
 
 
 def dice(query: Column, content: Column, query_pairs: Column, content_pairs: Column) -> Column:
