@@ -98,6 +98,27 @@ def test_search_opens_only_its_buckets(spark, index):
     assert [r.id for r in hits.collect()] == ["1"]
 
 
+def test_postings_are_stored_in_blocks(spark, index, monkeypatch):
+    from docquarry.operators import postings
+
+    monkeypatch.setattr(postings, "GATHERED", 300)  # several gatherings, one row larger than that
+    monkeypatch.setattr(postings, "BLOCK", 7)
+    rng = random.Random(5)
+    some = lambda n: [rng.choice([*WORDS, None]) for _ in range(n)]
+    rows = [(f"x{i}", rng.choice("ab"), rng.choice(["r", None]), some(rng.randint(0, 3)), some(rng.choice([0, 9, 90])) + ["tax"]) for i in range(120)]
+    chunks = spark.createDataFrame([*rows, ("none", "a", "r", None, ["tax"]), ("empty", "a", "r", [], []), ("long", "a", "r", [], ["zz"] * 400)], CHUNKS)
+    want = retrieval.lexical_index(chunks.withColumnRenamed("chunk_id", "id"), index.weights, ("collection_id", "ingest_run_id")).where("term is not null and size is not null")
+    want = sorted(map(tuple, want.select("term", "id", "size", "collection_id", "ingest_run_id", "f").collect()), key=str)
+    index.stage(chunks)
+    for _ in range(2):
+        stored = index.store.read(index.store.state()[1], "postings", index.postings_schema)
+        got = postings.opened(stored).where("size is not null").select("term", "chunk_id", "size", "collection_id", "ingest_run_id", "f").collect()
+        assert sorted(map(tuple, got), key=str) == want
+        assert stored.count() < len(want) * 0.7 and stored.selectExpr("max(size(postings))").first()[0] == 7
+        assert sorted(r.chunk_id for r in index._rows(index.store.state()[1]).collect()) == sorted([*(r[0] for r in rows), "none", "empty", "long"])
+        index.merge()
+
+
 def test_empty_index_and_conflicts(spark, index, tmp_path):
     terms = spark.createDataFrame([(0, 0, "tax")], "query_id int, group_id int, term string")
     assert index.search(terms, 5).collect() == []
