@@ -11,6 +11,9 @@ from ..functions.text import one_spaced, sentences, strip
 from ..functions.values import clock, clock_seconds
 from .retrieval import is_small
 
+#: Rows of a part of ``failed_chunks``.
+PART_ROWS = 1 << 20
+
 
 def caption_cues(files: DataFrame, key: str = "media_id", vtt: str = "vtt") -> DataFrame:
     """Cues (key, start, end, text) of WebVTT texts: tags dropped, white space collapsed, and
@@ -218,9 +221,14 @@ def transcript_segments(files: DataFrame, key: str = "media_id", text: str = "tr
 
 
 def failed_chunks(results: DataFrame, planned: DataFrame) -> DataFrame:
-    """(media_id, index) of chunks with an error or without a result."""
-    bad = results.where("error is not null").select("media_id", "index")
-    return bad.unionByName(planned.select("media_id", "index").join(results, ["media_id", "index"], "left_anti")).distinct()
+    """(media_id, index) of chunks with an error or without a result. One count per chunk: results and
+    plan are never sorted against each other, and parts hold ``PART_ROWS`` rows, however many there are."""
+    keyed = F.col("media_id").isNotNull() & F.col("index").isNotNull()  # a null key meets no other
+    r = results.select("media_id", "index", F.col("error").isNotNull().alias("bad"), keyed.alias("has")).where("bad or has")
+    p = planned.select("media_id", "index", F.lit(False).alias("bad"), F.lit(False).alias("has"))
+    parts = max(1, -(-(results.count() + planned.count()) // PART_ROWS))
+    each = r.unionByName(p).repartition(parts, "media_id", "index").groupBy("media_id", "index")
+    return each.agg(F.max("bad").alias("bad"), F.max("has").alias("has")).where("bad or not has").select("media_id", "index")
 
 
 def library(states: DataFrame, roots: DataFrame) -> DataFrame:

@@ -109,6 +109,16 @@ def test_small_values(spark):
     assert r.l == "【A】\none\n\n【C】\n- x\n- y"
 
 
+def test_failed_chunks_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(media, "PART_ROWS", 3)
+    keys = "media_id int, index int"
+    res = spark.createDataFrame([(1, 0, None), (1, 1, "e"), (1, 1, None), (2, 0, "e"), (3, 0, None), (None, 0, None), (4, None, "e"), (None, 5, None)], keys + ", error string")
+    plan = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (1, 2), (None, 0), (None, 0), (5, None)], keys)
+    failed = media.failed_chunks(res, plan)
+    assert sorted(map(tuple, failed.collect()), key=str) == sorted([(1, 1), (2, 0), (1, 2), (None, 0), (4, None), (5, None)], key=str)
+    assert "Join" not in failed._jdf.queryExecution().optimizedPlan().toString() and failed.rdd.getNumPartitions() == 5
+
+
 def test_small_tables(spark):
     seg = media.transcript_segments(spark.createDataFrame([(1, "lost\n[00:05] a\n b \n\n[1:00:00] c")], "media_id int, transcript string")).orderBy("n").collect()
     assert [(r.seconds, r.text) for r in seg] == [(-1.0, "lost"), (5.0, "a b"), (3600.0, "c")]
