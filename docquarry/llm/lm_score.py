@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ def _lower(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of ``texts``, how many words each text has, and each word's place
+    among the different ones."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, of = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.not_equal(words, "")  # white space at an end leaves an empty word
+    coded = words.filter(full).dictionary_encode()
+    many = np.bincount(of.filter(full).to_numpy(), minlength=len(texts))
+    return coded.dictionary.cast(pa.binary()).to_pylist(), many, coded.indices.to_numpy()
+
+
 def _blocks(docs: DataFrame, shards: int) -> DataFrame:
     """Of ``docs`` (doc_id, mark, held_out, text): for each block of rows one row with its
     documents (shard -1: ids, word numbers), one row per shard of words with the block's
@@ -84,26 +96,32 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
             return out.to_batches()
 
         for b in batches:
-            for doc_id, mark, out, text in zip(*(b.column(i) for i in range(4)), strict=True):
-                data = _lower(text.as_py())
-                words = data.split()
-                for w in words:
+            texts = pc.ascii_lower(b.column(3).fill_null(""))
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at = 0
+            while at < len(texts):
+                # Rows up to the one that fills the block.
+                before = int(ends[at - 1]) if at else 0
+                to = min(len(texts), int(np.searchsorted(ends, before + BLOCK - size)) + 1)
+                some, n_words, n = split_words(texts.slice(at, to - at))
+                for w in some:
                     if w not in number:
                         number[w] = len(number)
-                n = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
-                ids.append(doc_id.as_py() or 0)
-                known.append(doc_id.is_valid)
-                marks.append(mark.as_py())
-                held.append(out.as_py())
-                sizes.append(len(words))
+                n = np.fromiter(map(number.__getitem__, some), np.uint32, len(some))[n]
+                train = ~np.array(b.column(2).slice(at, to - at).to_pylist(), bool)
+                ids += [i or 0 for i in b.column(0).slice(at, to - at).to_pylist()]
+                known += b.column(0).slice(at, to - at).is_valid().to_pylist()
+                marks += b.column(1).slice(at, to - at).to_pylist()
+                held += (~train).tolist()
+                sizes += n_words.tolist()
                 numbers.append(n)
-                if not held[-1]:
-                    times.append(n)
-                    few.append(data)
-                    few_size += len(data)
+                times.append(n[np.repeat(train, n_words)])
+                for data in texts.slice(at, to - at).filter(pa.array(train)).cast(pa.binary()):
+                    few.append(data.as_py())
+                    few_size += len(few[-1])
                     if few_size > mixing.BATCH:
                         add_threes()
-                size += len(data) + 1
+                size, at = size + int(ends[to - 1]) - before, to
                 if size >= BLOCK:
                     yield from flush()
         if ids:

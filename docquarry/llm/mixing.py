@@ -41,6 +41,8 @@ OWN, RUN_INPUT = "tail", np.array([0, 24, 40, 56], np.int8)
 INPUTS = len(CONTEXTS) + 1
 RUNS = len(RUN_INPUT)
 GATES = 4 * 4 * RUNS
+#: The own predictor's inputs by row, bit and whether the guess is right.
+_SIGNED = np.array([x if bit == right else -x for x in RUN_INPUT.tolist() for bit in (0, 1) for right in (0, 1)], np.int8)
 SCALE = 16.0  # steps of a stored stretched probability
 FIRST_WEIGHT = 0.2
 #: Contexts of two bytes with a tree of their own, and the count that they need.
@@ -137,40 +139,53 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sym, np.cumsum(size) - size, size
 
 
-def contexts(sym: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def contexts(sym: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Of pieces that stand one after another: the two bytes before each byte (END before a
-    piece), and a 32-bit hash of each context."""
+    piece), and a 32-bit hash of each context; then of each word with the white space or end
+    behind it: its first byte, and a 64-bit hash."""
     n = len(sym)
-    at = np.arange(n)
-    place = at - np.repeat(starts, size)
-    past = sym.astype(_U32) + _U32(1)
+    at, of = np.arange(n), np.repeat(starts, size)
+    place = np.minimum(at - of, 4).astype(np.uint8)
+    past = sym.astype(_U32)
+    past += _U32(1)
     h, backs = np.zeros(n, _U32), []
     for k in range(1, 5):
         back = np.zeros(n, _U32)
         if n > k:
-            back[k:] = past[:-k]
-        back[place < k] = 0
+            np.multiply(past[:-k], place[k:] >= k, out=back[k:])
         backs.append(back)
-        h = (h + back) * _MIX
+        h += back
+        h *= _MIX
         h ^= h >> _U32(15)
-    before = (((backs[1] - _U32(1)) & _U32(255)) << _U32(8)) | ((backs[0] - _U32(1)) & _U32(255))
+    one, two = (backs[k] - _U32(1) & _U32(255) for k in (0, 1))
+    before = (two << _U32(8)) | one
     # The word so far, by a rolling sum over powers of an odd number, taken back to its start.
-    begin = np.maximum.accumulate(np.where(_SPACE[before & _U32(255)], at, 0))
+    new = np.flatnonzero(_SPACE.take(one))  # where words begin, the start of each piece included
+    chars = np.diff(np.append(new, n))
+    begin = np.repeat(new, chars)
     total = np.zeros(n + 1, _U64)
     np.cumsum(past * _POWERS[:n], out=total[1:])
-    word = (total[:-1] - total[begin]) * _INVERSE[begin] + _U64(0x51ED27)
-    word = ((word * _FOLD) >> _U64(32)).astype(_U32)
-    inside = begin > np.repeat(starts, size)  # there is a word before
-    end = np.where(inside, begin - 1, 0)  # its white space
-    last = np.where(inside, word[end], _U32(0))
-    tail = np.zeros(n, _U32)
+    word = total[:-1] - np.repeat(total[new], chars)
+    word *= np.repeat(_INVERSE[new], chars)
+    word += _U64(0x51ED27)
+    word *= _FOLD
+    word >>= _U64(32)
+    word = word.astype(_U32)
+    # Of each word start: the word before and its last three bytes, if there is one.
+    from_ = of[new]
+    inside, end = new > from_, np.maximum(new - 1, 0)
+    last, tail = np.where(inside, word[end], _U32(0)), np.zeros(len(new), _U32)
     for k in range(1, 4):
-        tail = tail * _U32(257) + np.where(end - k >= np.repeat(starts, size), past[np.maximum(end - k, 0)], _U32(0))
+        tail = tail * _U32(257) + np.where(end - k >= from_, past[np.maximum(end - k, 0)], _U32(0))
     found = {"four": h, "word": word}
     for name, x in (("tail", np.where(inside, tail, _U32(0))), ("last", last)):
-        h = (word ^ (x * _MIX)) * _PAIR
-        found[name] = h ^ (h >> _U32(15))
-    return before.astype(np.int64), found
+        h = np.repeat(x * _MIX, chars)
+        h ^= word
+        h *= _PAIR
+        h ^= h >> _U32(15)
+        found[name] = h
+    own = (total[np.append(new[1:], n)] - total[new]) * _INVERSE[new]
+    return before.astype(np.int64), found, (new, own)
 
 
 def _slots(h: np.ndarray, mixed: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -182,32 +197,61 @@ def _slots(h: np.ndarray, mixed: np.ndarray, k: int, bits: int) -> np.ndarray:
 
 def count(parts: list[bytes], code: Code, tables: list[np.ndarray]) -> None:
     """Add the decisions of pieces to ``tables`` (per context: slots * 2 counts). After a short
-    context, which comes often, the same byte counts in one step."""
+    context, which comes often, the same byte counts in one step, and so does a word that comes
+    again for the context that sees no more than it."""
     sym, starts, size = _joined(parts)
-    before, found = contexts(sym, starts, size)
+    before, found, (new, own) = contexts(sym, starts, size)
     which = code.tree[before] * 256 + sym
+    kind = tables[0].dtype
     key = found[CONTEXTS[0]].astype(_U64) << _U64(20)
     key |= which.astype(_U64)
     key.sort()
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    times = np.diff(np.append(first, len(key))).astype(tables[0].dtype)
+    times = np.diff(np.append(first, len(key))).astype(kind)
     key = key[first]
-    some = (key & _U64(0xFFFFF)).astype(np.int64)
-    each = code.length[some]
-    packed = code.packed.take(_ranges(code.first[some], each))
-    _add(tables[0], 0, (key >> _U64(20)).astype(_U32), each, packed, np.repeat(times, each))
-    each = code.length[which]
-    packed = code.packed.take(_ranges(code.first[which], each))
-    ones = np.ones(len(packed), tables[0].dtype)
+    of, packed = _decisions(code, (key & _U64(0xFFFFF)).astype(np.int64))
+    _add(tables[0], 0, (key >> _U64(20)).astype(_U32).take(of), packed, times.take(of))
+    size = np.diff(np.append(new, len(sym)))
+    some, times = _distinct(own * _FOLD ^ (before[new].astype(_U64) + _U64(1)) * _U64(_STEP))
+    byte, times = _ranges(new[some], size[some]), np.repeat(times.astype(kind), size[some])
+    of, packed = _decisions(code, which[byte])
+    k = CONTEXTS.index("word")
+    _add(tables[k], k, found["word"][byte].take(of), packed, times.take(of))
+    of, packed = _decisions(code, which)
+    ones = np.ones(len(of), kind)
     for k in range(1, len(tables)):
-        _add(tables[k], k, found[CONTEXTS[k]], each, packed, ones)
+        if CONTEXTS[k] != "word":
+            _add(tables[k], k, found[CONTEXTS[k]].take(of), packed, ones)
 
 
-def _add(table: np.ndarray, k: int, h: np.ndarray, each: np.ndarray, packed: np.ndarray, times: np.ndarray) -> None:
-    s = _slots(np.repeat(h, each), packed & _U32(0xFFFFFFFE), k, len(table).bit_length() - 2)
+def _decisions(code: Code, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all decisions on some paths: the path's place, and the code's word for it."""
+    each = code.length[which]
+    stop = np.cumsum(each)
+    of = np.repeat(np.arange(len(each)), each)
+    at = (code.first[which] - (stop - each)).take(of)
+    at += np.arange(len(of))
+    return of, code.packed.take(at)
+
+
+def _add(table: np.ndarray, k: int, h: np.ndarray, packed: np.ndarray, times: np.ndarray) -> None:
+    turn = packed & _U32(1)
+    s = _slots(h, packed ^ turn, k, len(table).bit_length() - 2)
     s <<= _U32(1)
-    s |= packed & _U32(1)
-    np.add.at(table, s.astype(np.int64), times)
+    s |= turn
+    np.add.at(table, s.astype(np.intp), times)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that stand for all with an equal key, and for how many."""
+    row = _U64((1 << 22) - 1)  # no batch has as many words
+    order = keys & ~row
+    order |= np.arange(len(keys), dtype=_U64)
+    order.sort()
+    order = (order & row).astype(np.int64)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return order[first], np.diff(np.append(first, len(keys)))
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
@@ -256,6 +300,8 @@ class Mixer:
         self.code, self.tables = code, tables
         weights = np.full((GATES, INPUTS), FIRST_WEIGHT) if weights is None else weights
         self.weights = np.ascontiguousarray(weights.T / SCALE, np.float32)
+        #: Of the contexts that choose the gate, value and class in one number.
+        self.both = {k: (tables[k].astype(np.int16) << 2) | tables[len(CONTEXTS) + i] for i, k in enumerate(map(CONTEXTS.index, SEEN))}
         self.centres = 1 / (1 + np.exp(-((np.arange(CELLS) + 0.5) / 2 - CELLS / 4)))
 
     def inputs(self, parts: list[bytes]) -> tuple:
@@ -264,34 +310,47 @@ class Mixer:
         of each block (and the end)."""
         code = self.code
         sym, starts, size = _joined(parts)
-        before, found = contexts(sym, starts, size)
+        before, found, _ = contexts(sym, starts, size)
         text = np.repeat(np.arange(len(parts)), size)
         block = _BLOCK[np.arange(len(sym)) - np.repeat(starts, size)]
         order = np.argsort(block, kind="stable")
         tree = code.tree[before] * 256
         guess, run = last_byte(found[OWN], sym, text)
-        apart = code.path[tree + guess] ^ code.path[tree + sym]
+        which = tree + sym
+        apart = code.path[tree + guess] ^ code.path[which]
         agree = 32 - np.frexp(apart.astype(np.float64))[1]  # decisions before the two paths part
-        which, text, block = (tree + sym)[order], text[order], block[order]
+        which, text, block = which[order], text[order], block[order]
         each = code.length[which]
-        first = code.first[which]
-        at = _ranges(first, each)
-        packed = code.packed.take(at)
+        stop = np.cumsum(each)
+        n = int(stop[-1]) if len(stop) else 0
+        of = np.repeat(np.arange(len(each)), each)  # the byte of each decision
+        step = np.arange(n)
+        step -= (stop - each).take(of)  # its place on the byte's path
+        packed = code.packed.take(code.first[which].take(of) + step)
         bit, mixed = (packed & _U32(1)).astype(np.uint8), packed & _U32(0xFFFFFFFE)
-        x, gate = [], np.zeros(len(at), np.int16)
+        x, gate = [], np.zeros(n, np.int16)
         for k, name in enumerate(CONTEXTS):
-            s = _slots(np.repeat(found[name][order], each), mixed, k, len(self.tables[k]).bit_length() - 1)
-            x.append(self.tables[k].take(s))
-            if name in SEEN:
-                gate = gate * 4 + self.tables[len(CONTEXTS) + list(SEEN).index(name)].take(s)
-        ahead = np.repeat((agree[order] + first).astype(np.int32), each) - at.astype(np.int32)
-        sign = (bit.astype(np.int8) << 1) - np.int8(1)
-        row = np.repeat(run[order], each) * (ahead >= 0)  # none after the paths have parted
-        x.append(np.where(ahead > 0, sign, -sign) * RUN_INPUT[row])
-        gate = gate * RUNS + row
+            s = _slots(found[name][order].take(of), mixed, k, len(self.tables[k]).bit_length() - 1)
+            if k in self.both:
+                v = self.both[k].take(s)
+                gate <<= 2
+                gate |= v & np.int16(3)
+                v >>= 2
+                x.append(v.astype(np.int8))
+            else:
+                x.append(self.tables[k].take(s))
+        # The own predictor's input until the paths have parted, with the sign of its guess.
+        run, agree = run[order], agree[order].astype(np.int8)
+        ahead = agree.take(of)
+        ahead -= step.astype(np.int8)
+        row = run.take(of)
+        row *= ahead >= 0
+        x.append(_SIGNED.take((row << 2) | (bit << 1) | (ahead > 0)))
+        gate *= RUNS
+        gate += row
         runs = block.astype(np.int64) * len(parts) + text
         new = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
-        stops = np.append((np.cumsum(each) - each)[new], len(at))
+        stops = np.append((stop - each)[new], n)
         blocks = np.append(np.flatnonzero(np.concatenate(([True], block[new[1:]] != block[new[:-1]]))), len(new))
         return x, gate, bit, text[new], stops, blocks
 
@@ -310,23 +369,44 @@ class Mixer:
 
     def _block(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, who: np.ndarray, begin: np.ndarray, size: np.ndarray, state: dict) -> None:
         w, cells = state["w"], state["cells"]
-        t = np.zeros(len(gate), np.float32)
+        t, gate = np.zeros(len(gate), np.float32), gate.astype(np.intp)
         for k in range(INPUTS):
-            t += (self.weights[k].take(gate) + np.repeat(w[k][who], size)) * x[k]
+            v = self.weights[k].take(gate)
+            v += np.repeat(w[k][who], size)
+            v *= x[k]
+            t += v
         np.clip(t, -12, 12, out=t)
-        p = 1 / (1 + np.exp(-t))
-        cell = ((t + np.float32(CELLS / 4)) * 2).astype(np.int32)
-        np.clip(cell, 0, CELLS - 1, out=cell)
-        cell += np.repeat((who * CELLS).astype(np.int32), size)
-        refined = p + np.float32(REFINED) * ((cells[1] / cells[0]).take(cell) - p)
+        p = np.exp(-t)
+        p += 1
+        np.reciprocal(p, out=p)
+        t += np.float32(CELLS / 4)
+        t *= 2
+        cell = t.astype(np.intp)
+        np.minimum(cell, CELLS - 1, out=cell)
+        np.maximum(cell, 0, out=cell)
+        cell += np.repeat(who * CELLS, size)
+        refined = (cells[1] / cells[0]).take(cell)
+        refined -= p
+        refined *= np.float32(REFINED)
+        refined += p
         np.clip(refined, 1e-5, 1 - 1e-5, out=refined)
         y = bit.astype(np.float32)
-        state["bits"][who] -= np.add.reduceat(np.log2(np.abs(y - 1 + refined)), begin, dtype=np.float64)
-        wrong = y - p
+        refined += y
+        refined -= 1
+        np.abs(refined, out=refined)
+        # Logarithms of products of at most 32: none is below 1e-160.
+        many = (size + 31) // 32
+        cuts = _ranges(np.zeros(len(size), np.int64), many) * 32 + np.repeat(begin, many)
+        bits = np.log2(np.multiply.reduceat(refined, cuts, dtype=np.float64))
+        state["bits"][who] -= np.add.reduceat(bits, np.cumsum(many) - many)
+        wrong = np.subtract(y, p, out=p)
         rate = np.float32(RATE / SCALE / SCALE) * np.minimum(1, CALM / size).astype(np.float32)
         for k in range(INPUTS):
-            w[k][who] += rate * np.add.reduceat(wrong * x[k], begin)
-        both = np.bincount(cell * 2 + bit, minlength=2 * cells.shape[1]).reshape(-1, 2)
+            x[k] *= wrong
+            w[k][who] += rate * np.add.reduceat(x[k], begin)
+        cell <<= 1
+        cell += bit
+        both = np.bincount(cell, minlength=2 * cells.shape[1]).reshape(-1, 2)
         cells[0] += both.sum(1)
         cells[1] += both[:, 1]
 
@@ -343,8 +423,9 @@ class Mixer:
         return out
 
 
-def batches(texts: list[bytes]) -> list[list[int]]:
-    """Groups of texts to score together; a text longer than a piece is one of its own."""
+def batches(texts: list[bytes], end: int = 1) -> list[list[int]]:
+    """Groups of texts, which ``end`` bytes follow, to work on together; a text longer than a
+    piece is one of its own."""
     out, part, size = [], [], 0
     for i, t in enumerate(texts):
         if len(t) >= SPAN:
@@ -354,7 +435,7 @@ def batches(texts: list[bytes]) -> list[list[int]]:
             out.append(part)
             part, size = [], 0
         part.append(i)
-        size += len(t) + 1
+        size += len(t) + end
     return [*out, part] if part else out
 
 
@@ -363,12 +444,20 @@ def newton_sums(x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weights:
     curvature, then INPUTS of the slope. They add up over texts."""
     out = np.zeros((GATES, INPUTS * INPUTS + INPUTS))
     order = np.argsort(gate, kind="stable")
-    cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
-    for g in np.flatnonzero(np.diff(cuts)).tolist():
-        at = order[cuts[g] : cuts[g + 1]]
-        v = np.stack([k[at] for k in x]).astype(np.float64)
-        p = 1 / (1 + np.exp(-np.clip(weights[g] / SCALE @ v, -12, 12)))
-        out[g] = np.concatenate((((v * (p * (1 - p))) @ v.T).ravel(), v @ (p - bit[at])))
+    many = np.bincount(gate, minlength=GATES)
+    some = np.flatnonzero(many)
+    begin = (np.cumsum(many) - many)[some]
+    v = [k[order].astype(np.float32) for k in x]
+    t = np.zeros(len(order))
+    for k in range(INPUTS):
+        t += np.repeat(weights[some, k] / SCALE, many[some]) * v[k]
+    p = 1 / (1 + np.exp(-np.clip(t, -12, 12)))
+    wrong, bend = (p - bit[order]).astype(np.float32), (p * (1 - p)).astype(np.float32)
+    for i in range(INPUTS):
+        out[some, INPUTS * INPUTS + i] = np.add.reduceat(v[i] * wrong, begin, dtype=np.float64)
+        bent = v[i] * bend
+        for j in range(i, INPUTS):
+            out[some, i * INPUTS + j] = out[some, j * INPUTS + i] = np.add.reduceat(bent * v[j], begin, dtype=np.float64)
     return out
 
 

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -486,6 +488,27 @@ def test_newton_steps_lower_the_bits():
     assert mixing.Mixer(mixer.code, mixer.tables, weights).score(found[40:]).sum() < before
 
 
+def test_words_are_split_as_bytes_split_them():
+    found = [*HARD, "", " a  b\ta ", "\x0b\x0c\r\n", "a\x1cb\x85c\u00a0d", "ÄÖ ä A"]
+    found = [t or "" for t in found]
+    some, many, at = lm_score.split_words(pc.ascii_lower(pa.array(found, pa.string())))
+    got = [some[i] for i in at]
+    want = [t.encode().lower().split() for t in found]
+    assert got == [w for t in want for w in t] and many.tolist() == list(map(len, want)) and len(set(some)) == len(some)
+
+
+def test_newton_sums_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    x, gate, bit = [rng.integers(-127, 128, 3000).astype(np.int8) for _ in range(mixing.INPUTS)], rng.choice([0, 3, 63], 3000).astype(np.int16), rng.integers(0, 2, 3000).astype(np.uint8)
+    weights = rng.random((mixing.GATES, mixing.INPUTS)) * 0.4
+    want = np.zeros((mixing.GATES, mixing.INPUTS * (mixing.INPUTS + 1)))
+    for i in range(3000):
+        v = np.array([k[i] for k in x], float)
+        p = 1 / (1 + math.exp(-max(-12, min(12, float(weights[gate[i]] @ v) / mixing.SCALE))))
+        want[gate[i]] += np.concatenate((np.outer(v, v).ravel() * p * (1 - p), v * (p - bit[i])))
+    assert np.allclose(mixing.newton_sums(x, gate, bit, weights), want, rtol=1e-4, atol=1e-1)
+
+
 def test_lm_scores(spark):
     rows = list(enumerate(texts(150, 14))) + [(1000 + i, t) for i, t in enumerate(HARD)] + [(None, "an er th"), (5, texts(150, 14)[5])]
     out = lm_score.lm_scores(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")).collect()
