@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 
@@ -39,6 +40,15 @@ def _lower(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
+def release() -> None:
+    """Give what a task has freed back to the system, as its worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of ``texts``, how many words each text has, and each word's place
     among the different ones."""
@@ -126,6 +136,7 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
                     yield from flush()
         if ids:
             yield from flush()
+        release()
 
     return docs.mapInArrow(run, "block string, shard int, words binary, counts binary, doc_id array<long>, known array<boolean>, mark array<long>, held_out array<boolean>, sizes array<long>")
 
@@ -192,20 +203,27 @@ def _code(blocks: DataFrame) -> mixing.Code:
     return mixing.Code(one, two)
 
 
-def _planes(counts: np.ndarray) -> bytes:
-    """The lowest bytes of all counts, then the next: most are small, so this packs well."""
-    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(counts: np.ndarray) -> bytes:
+    """Counts as bytes, and where one is 255 or more its place and all of it; then compressed,
+    behind the length."""
+    more = np.flatnonzero(counts >= 255)
+    data = np.minimum(counts, 255).astype(np.uint8).tobytes() + more.astype("<u4").tobytes() + counts[more].astype("<u4").tobytes()
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd").compress(data, asbytes=True)
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def add_packed(sums: np.ndarray, data: bytes) -> None:
+    """Add counts that ``pack`` has packed to ``sums``."""
+    data = pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+    sums += np.frombuffer(data, np.uint8, len(sums))
+    more, counts = np.frombuffer(data, "<u4", offset=len(sums)).reshape(2, -1)
+    sums[more] += counts.astype(np.int64) - 255
 
 
 def _counted(texts: DataFrame, code, bits: list[int], fit: bool) -> DataFrame:
     """The tables that tasks count from ``texts`` (one column), as rows of compressed slices."""
 
     def run(batches):
-        codec, held = pa.Codec("zstd"), 0
+        held = 0
         tables = [np.zeros(2 << s, np.uint32) for s in bits]
 
         def ship():
@@ -213,14 +231,14 @@ def _counted(texts: DataFrame, code, bits: list[int], fit: bool) -> DataFrame:
                 for i in range(0, len(t), 2 * SLICE):
                     part = t[i : i + 2 * SLICE]
                     if part.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i // 2], pa.int64()), pa.array([fit]), pa.array([codec.compress(_planes(part), asbytes=True)], pa.binary())], ["k", "at", "fit", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i // 2], pa.int64()), pa.array([fit]), pa.array([pack(part)], pa.binary())], ["k", "at", "fit", "counts"])
                 t[:] = 0
 
         part, size = [], 0
         for b in batches:
             for text in b.column(0):
                 for p in mixing.pieces(_lower(text.as_py())):
-                    if part and size + len(p) > mixing.BATCH:
+                    if part and size + len(p) > mixing.GROUP:
                         mixing.count(part, code.value, tables)
                         part, size = [], 0
                     part.append(p)
@@ -233,34 +251,46 @@ def _counted(texts: DataFrame, code, bits: list[int], fit: bool) -> DataFrame:
         if part:
             mixing.count(part, code.value, tables)
         yield from ship()
+        del tables
+        release()
 
     return texts.mapInArrow(run, "k int, at long, fit boolean, counts binary")
 
 
-def _tables(texts: DataFrame, sample: DataFrame, code, bits: list[int]) -> DataFrame:
-    """Slices of the mixer's tables without (which 0) and with (1) the texts that fit the
-    weights. Tasks count, and equal slices are added up across tasks."""
+def summed(batches, bits: list[int]):
+    """Packed counts (k, at, fit, counts), sorted by slice, as finished slices of the mixer's
+    tables: without (which 0) and with (1) the texts that fit the weights. One slice is held at
+    a time."""
+    now = sums = None
+
+    def finished():
+        (k, at), n = now, sums[0].copy()
+        for which in (0, 1):
+            n += sums[1] if which else 0
+            done = [(k, mixing.stretched(n))]
+            if mixing.CONTEXTS[k] in mixing.SEEN:
+                i = list(mixing.SEEN).index(mixing.CONTEXTS[k])
+                done.append((len(mixing.CONTEXTS) + i, mixing.classes(n, mixing.SEEN[mixing.CONTEXTS[k]])))
+            for table, x in done:
+                yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([table], pa.int32()), pa.array([at], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["which", "k", "at", "done"])
+
+    for b in batches:
+        for k, at, fit, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            if now != (k, at):
+                if now:
+                    yield from finished()
+                now, sums = (k, at), np.zeros((2, 2 * min(SLICE, 1 << bits[k])), np.int64)
+            add_packed(sums[int(fit)], c.as_py())
+    if now:
+        yield from finished()
 
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        codec = pa.Codec("zstd")
-        for b in batches:
-            for k, at, fit, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                size = min(SLICE, 1 << bits[k])
-                if (k, at) not in sums:
-                    sums[k, at] = np.zeros((2, 2 * size), np.int64)
-                sums[k, at][int(fit)] += _from_planes(codec.decompress(c.as_py(), size * 8, asbytes=True))
-        for (k, at), c in sums.items():
-            for which, n in ((0, c[0]), (1, c[0] + c[1])):
-                done = [(k, mixing.stretched(n))]
-                if mixing.CONTEXTS[k] in mixing.SEEN:
-                    i = list(mixing.SEEN).index(mixing.CONTEXTS[k])
-                    done.append((len(mixing.CONTEXTS) + i, mixing.classes(n, mixing.SEEN[mixing.CONTEXTS[k]])))
-                for table, x in done:
-                    yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([table], pa.int32()), pa.array([at], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["which", "k", "at", "done"])
 
+def _tables(texts: DataFrame, sample: DataFrame, code, bits: list[int]) -> DataFrame:
+    """Slices of the mixer's tables, see ``summed``. Tasks count, and equal slices are added up
+    across tasks."""
     parts = _counted(texts, code, bits, False).unionByName(_counted(sample, code, bits, True))
-    return materialize(parts.repartition("k", "at").mapInArrow(add, "which int, k int, at long, done binary"), "tables")
+    each = parts.repartition("k", "at").sortWithinPartitions("k", "at")
+    return materialize(each.mapInArrow(lambda batches: summed(batches, bits), "which int, k int, at long, done binary"), "tables")
 
 
 def _collected(tables: DataFrame, which: int, bits: list[int]) -> list[np.ndarray]:
@@ -286,6 +316,8 @@ def _weights(sample: DataFrame, code, tables) -> np.ndarray:
                     for p in mixing.pieces(texts[part[0]]) if len(part) == 1 else [None]:
                         x, gate, bit, *_ = mixer.inputs([p] if p else [texts[j] + mixing.END_BYTE for j in part])
                         total += mixing.newton_sums(x, gate, bit, now)
+            del mixer
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["i", "x"])
 
         return sample.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
@@ -350,8 +382,12 @@ def lm_scores(docs: DataFrame, most_bits: int = 22) -> DataFrame:
             texts = [_lower(t.as_py()) for t in b.column(2)]
             score = mixer.score(texts) * -np.log10(2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, texts)), pa.int64()), pa.array(score)], ["id", "mark", "n_bytes", "score"])
+        del mixer
+        release()
 
     scored = materialize(rows.select("doc_id", "mark", "text").mapInArrow(run, "id long, mark long, n_bytes long, score double"), "scores").dropDuplicates(["id", "mark"])
+    model.destroy()
+    code.destroy()
     drop_materialized(sample)
     drop_materialized(tables)
     base = _base(blocks, words, tokens, distinct, ends)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -534,3 +535,26 @@ def test_lm_scores_without_training_rows(spark):
     out = lm_score.lm_scores(spark.createDataFrame([(i, t) for i, t in zip(held, ["a b", "", None], strict=True)], "doc_id long, text string")).collect()
     assert len(out) == 3 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in out)
     assert {r.doc_id: r.n_tokens for r in out} == dict(zip(held, (3, 1, 1), strict=True))
+
+
+def test_lm_table_counts_survive_packing():
+    counts = np.array([0, 1, 254, 255, 256, 70_000, 2**32 - 1, 0], np.uint32)
+    sums = np.arange(8)
+    lm_score.add_packed(sums, lm_score.pack(counts))
+    assert (sums - np.arange(8)).tolist() == counts.tolist()
+
+
+def test_lm_tables_are_added_one_slice_at_a_time():
+    size, part = 2 * lm_score.SLICE, np.random.default_rng(1).integers(0, 300, 2 * lm_score.SLICE).astype(np.uint32)
+
+    def batches():
+        for at in range(20):
+            packed = pa.array([lm_score.pack(part + at)] * 2, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([1, 1], pa.int32()), pa.array([at * lm_score.SLICE] * 2), pa.array([False, True]), packed], ["k", "at", "fit", "counts"])
+
+    tracemalloc.start()
+    done = [(r["which"], r["at"], r["done"]) for b in lm_score.summed(batches(), list(mixing.SIZES)) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == [(which, at * lm_score.SLICE, mixing.stretched((part.astype(np.int64) + at) * (which + 1)).tobytes()) for at in range(20) for which in (0, 1)]
+    assert peak < 10 * size * 8  # all slices' sums are 40 times size * 8
