@@ -73,3 +73,27 @@ def test_native_date_check_equals_the_parser(spark):
     real = [d + t + o for d in days for t in times for o in offsets if t or not o] + [" 2026-01-02 ", "", "x"]
     df = spark.createDataFrame([(t,) for t in real], "t string").select("t", V.is_iso_datetime(F.col("t")).alias("got"), U.parsed_datetime("t").isNotNull().alias("want"))
     assert [(r.t, r.got) for r in df.where("got <> want").collect()] == []
+
+
+def test_depth_of_odd_texts(spark):
+    texts = {"1": 0, "null": 0, '"a[{"': 0, '"["': 0, ' {"a": 1}': 1, "\t\r\n[1, 2]": 1, '{"a": "["}': 1, '{"a\\"[": "]"}': 1, '[[], {"b": [1]}]': 3, "{}": 1, "": 0}
+    for text, deep in texts.items():
+        assert jsonmap.depth(spark.createDataFrame([(text,), (None,)], "value string")) == deep, text
+    assert jsonmap.depth(spark.createDataFrame([(None,)], "value string")) == 0
+
+
+def test_equal_values_are_counted_before_they_are_looked_into(spark):
+    rows = spark.createDataFrame([('{"a": "2024-02-30", "b": true}',), ('{"a": "2024-02-29", "b": "true"}',)] * 3 + [('{"a": ["2024-02-29", null], "b": "bool:"}',)], "value string")
+    p = jsonmap.profile(rows)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange") :]
+    assert "HashAggregate" in below and "SortAggregate" not in below and "yyyyMMdd" not in below and "yyyyMMdd" in plan
+    got = {r.path: (r.observed, r.nulls, r.elements, r.distinct_values, r.texts, round(r.datetime_rate, 6), r.length_sum, r.min_length, r.max_length, r.types) for r in p.collect()}
+    assert got == {"a": (7, 1, 8, 2, 7, round(4 / 7, 6), 70, 10, 10, "array,scalar"), "b": (7, 0, 7, 3, 4, 0.0, 17, 4, 5, "scalar")}
+
+
+def test_iso_dates_with_odd_edges(spark):
+    yes = ["2024-02-29", "\u3000 20240229\n", "\x1c2024-W53".replace("W53", "W52"), "2020W53", "2024W521T10", "2024-02-29TZ"[:-2], "2024-02-29T10:00Z", "2024-02-29 10", "\xa02024-02-29\x85", "20240229W10"]
+    no = ["2024-02-30", "20240230", "2024-W53", "0000-01-01", "2024-02-29T10:00ZZ", "20240-02-29", "2024-2-29", "", "\u200b2024-02-29", "2024-02-29\x00", "W", "2024"]
+    got = spark.createDataFrame([(t,) for t in yes + no], "t string").select("t", V.is_iso_datetime(F.col("t")).alias("is")).collect()
+    assert {r.t for r in got if r["is"]} == set(yes)
