@@ -24,6 +24,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 1000
 
+#: Rows of a table that is broadcast, at most.
+MOST_BROADCAST = 500_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -59,6 +62,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that must not be broadcast, however small Spark takes it to be:
+    its estimate comes from compressed files and does not see the rows that an explode adds."""
+    return df.hint("merge")
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as a side of a join: broadcast if it has at most ``MOST_BROADCAST`` rows, else
+    ``shuffled``. They are counted where the caller does not know that they are at most ``rows``."""
+    rows = df.limit(MOST_BROADCAST + 1).count() if rows is None else rows
+    return F.broadcast(df) if rows <= MOST_BROADCAST else shuffled(df)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table of ``materialize`` that nothing reads any more."""
     spark = df.sparkSession

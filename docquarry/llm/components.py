@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, materialize, sized
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): every pair with the least of u and its v. The least comes from a
+def _star(pairs: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): every pair (at most ``rows``) with the least of u and its v. The least comes from a
     map-side combined aggregate, so a node with very many neighbours is no hot group."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(sized(least, rows), "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,9 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Every larger neighbour of u moves to the least of u's neighbourhood ...
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _star(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # ... then u and its smaller neighbours move to the least of these.
-        small = _star(large)
+        small = _star(large, 2 * before[0])
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         then = materialize(moved.where("u <> v").distinct(), "components")
         after = sign(then)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, materialize, shuffled, sized
 from .components import connected_components
 
 SEED = 42
@@ -102,8 +102,8 @@ def _matches(table: DataFrame, probes: DataFrame, crowd: int) -> tuple[DataFrame
     few times; and the buckets (seg, key, least) that hold more."""
     crowded = table.groupBy("seg", "key").agg(F.count("*").alias("n"), F.min("b").alias("least"))
     crowded = materialize(crowded.where(F.col("n") > crowd).select("seg", "key", "least"), "crowded")
-    few = table.join(crowded, ["seg", "key"], "left_anti")
-    pairs = probes.join(few, ["seg", "key"]).where("a <> b and (not exact or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = table.join(sized(crowded), ["seg", "key"], "left_anti")
+    pairs = probes.join(shuffled(few), ["seg", "key"]).where("a <> b and (not exact or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.distinct(), crowded
 
 
@@ -131,17 +131,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, crowd: in
     table, probes = segment_tables(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("fp")), 2, 32)
     pairs, crowded = _matches(table, probes, crowd)
     close = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    reach = probes.join(crowded.select("seg", "key"), ["seg", "key"], "left_semi").select(F.col("a").alias("fp")).distinct()
+    reach = probes.join(sized(crowded.select("seg", "key")), ["seg", "key"], "left_semi").select(F.col("a").alias("fp")).distinct()
     around = F.concat(F.array("fp"), F.array(*(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64))))
     points = reach.select("fp", F.explode(around if radius == 2 else F.array("fp")).alias("at"))
     least = points.groupBy("at").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("at", "a")
-    met = points.join(least, "at").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    met = points.join(shuffled(least), "at").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
     edges = close.unionByName(met).distinct() if radius else close.limit(0)
-    rep = lambda k: nodes.select(F.col("fp").alias(k), F.col("rep").alias(f"{k}_rep"))
+    rep = lambda k: shuffled(nodes.select(F.col("fp").alias(k), F.col("rep").alias(f"{k}_rep")))
     by_id = edges.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     found = connected_components(by_id)
-    labels = nodes.join(found, nodes.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    joined = prints.join(labels, "fp", "left")
+    labels = nodes.join(shuffled(found), nodes.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    joined = prints.join(shuffled(labels), "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
