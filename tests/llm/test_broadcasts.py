@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 import pytest
 
-from docquarry.llm import common, components, simhash
+from docquarry.llm import common, components, simhash, url_filter
 
 
 @contextmanager
@@ -50,3 +50,16 @@ def test_simhash_groups_broadcasts_nothing_by_estimate(spark, monkeypatch, crowd
         assert [name for name, p in found if "BroadcastExchange" in p] == []
         assert sum("SortMergeJoin" in p for _, p in found) >= 3
         assert sorted(map(str, out.collect())) == want
+
+
+@pytest.mark.parametrize(("rows", "size"), [(1, 1 << 24), (1000, 10)])
+def test_url_filter_broadcasts_nothing_by_estimate(spark, monkeypatch, rows, size):
+    urls = [f"http://{'abc'[i % 3]}.example.{('net', 'com')[i % 2]}/de/{i % 37}" for i in range(200)] + [None, "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.com", "/de/1", "block"), ("a.example.com", "/de/", "allow")], "host string, path string, verdict string")
+    want = sorted(map(str, url_filter.url_filter(pages, rules).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BYTES", size)
+    with plans_with_broad_limits(spark, monkeypatch, url_filter) as found:
+        out = url_filter.url_filter(pages, rules, most_broadcast=rows)
+        assert [p.count("BroadcastHashJoin") for _, p in found] + [plan(out).count("BroadcastHashJoin")] == [0, 0]
+        assert sorted(map(str, out.collect())) == want
