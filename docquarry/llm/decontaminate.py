@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, put, words_of
+from .common import lower_ascii, materialize, put, shuffled, words_of
 
 SHINGLE = 5
 WORDS = 2  # of 64 bits in a fingerprint
@@ -84,7 +84,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     ``radius`` (by default ``radius_for``) sets the distance that is looked at.
     """
     radius = radius_for(similarity) if radius is None else radius
-    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
+    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else shuffled(df)
     items = _hashed(benchmark.select("item_id", "text")).where(F.size("__dq_w") > 0).groupBy("__dq_w").agg(F.min("item_id").alias("item_id"))
     items = put(items, size=F.least(F.size("__dq_w"), F.lit(SHINGLE)), n_words=F.size("__dq_w"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # 1 to 5 at most

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, apart, lower_ascii, materialize, put
+from .common import SPACE_CHARS, apart, lower_ascii, materialize, put, shuffled
 
 
 def line_key(line: Column) -> Column:
@@ -52,8 +52,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, most_bro
         .where(F.col("__dq_n") >= min_docs)
     )
     common = materialize(common, "common-lines")
-    if common.count() <= most_broadcast:
-        common = F.broadcast(common)
+    common = F.broadcast(common) if common.count() <= most_broadcast else shuffled(common)
     drops = (
         held.join(common, ["__dq_h1", "__dq_h2"])
         .where(F.col("doc_id") != F.col("__dq_last"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, apart, materialize, put, words_of
+from .common import SPACE_CLASS, apart, materialize, put, shuffled, words_of
 
 WINDOW = 8
 MINE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -141,8 +141,7 @@ def quality_rules(docs: DataFrame, prior: int = PRIOR, most_broadcast: int = 100
     counted = materialize(counted if keep_text else counted.drop("text"), "quality")
     limits = materialize(thresholds(sketches(counted), prior), "limits")
     limits = limits.withColumnsRenamed({"lang": "__dq_lang", "source": "__dq_source", "limits": "__dq_limits"})
-    if limits.count() <= most_broadcast:
-        limits = F.broadcast(limits)
+    limits = F.broadcast(limits) if limits.count() <= most_broadcast else shuffled(limits)
     judged = counted.join(limits, F.col("lang").eqNullSafe(F.col("__dq_lang")) & F.col("source").eqNullSafe(F.col("__dq_source")), "left")
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     above = F.lit(False)

@@ -157,14 +157,14 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    one = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    one = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sized(ids), "id", "left_semi")
     return one.mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"])
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, far: int) -> DataFrame:
     """Of the pairs (text, lead), a few for each text, those whose fingerprints are at most
     ``far`` bits apart, as (a, b)."""
-    fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
+    fp = lambda k: shuffled(nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp")))
     by_text = pairs.groupBy("text").agg(F.collect_set("lead").alias("leads")).join(fp("text"), "text")
     both = by_text.select("text", "text_fp", F.explode("leads").alias("lead")).join(fp("lead"), "lead")
     close = both.where(distance(F.col("text_fp"), F.col("lead_fp")) <= far)
@@ -176,7 +176,7 @@ def _alike(close: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
     close = materialize(close, "close")
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
     sets = materialize(_sets(docs, ids, shingle), "sets")
-    of = lambda k: sets.select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set"))
+    of = lambda k: shuffled(sets).select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     alike = F.when(F.size("a_set") + F.size("b_set") == 0, F.lit(1.0)).otherwise(shared / (F.size("a_set") + F.size("b_set") - shared))
     found = materialize(close.join(of("a"), "a").join(of("b"), "b").where(alike >= similarity).select("a", "b"), "alike")
@@ -236,21 +236,21 @@ def near_duplicates(
 
     table, probes = segment_tables(nodes, segments, bits)
     buckets = table.groupBy("seg", "key").agg(F.min("b").alias("b"), F.count("*").alias("n"))
-    first = probes.join(buckets.select("seg", "key", F.col("b").alias("lead")), ["seg", "key"]).where("a <> lead").select(F.col("a").alias("text"), "lead")
+    first = probes.join(shuffled(buckets.select("seg", "key", F.col("b").alias("lead"))), ["seg", "key"]).where("a <> lead").select(F.col("a").alias("text"), "lead")
     edges = _alike(_near(first, nodes, far), docs, shingle, similarity)
     groups = materialize(connected_components(edges), "groups")
 
-    of = nodes.join(groups.withColumnRenamed("id", "__dq_id"), F.col("id") == F.col("__dq_id"), "left").select("id", "fp", F.coalesce("component", "id").alias("group"))
+    of = nodes.join(sized(groups.withColumnRenamed("id", "__dq_id")), F.col("id") == F.col("__dq_id"), "left").select("id", "fp", F.coalesce("component", "id").alias("group"))
     table, probes = segment_tables(of, segments, bits, "group")
-    shared = table.join(buckets.where("n > 1").select("seg", "key", F.col("b").alias("least")), ["seg", "key"])
+    shared = table.join(shuffled(buckets.where("n > 1").select("seg", "key", F.col("b").alias("least"))), ["seg", "key"])
     lead = of.select(F.col("id").alias("least"), F.col("group").alias("lead"))
-    rest = materialize(shared.where("b <> least").join(lead, "least").select("seg", "key", "b", "least", F.col("group").alias("b_group"), "lead"), "rest")
+    rest = materialize(shared.where("b <> least").join(shuffled(lead), "least").select("seg", "key", "b", "least", F.col("group").alias("b_group"), "lead"), "rest")
     aside = F.col("b_group") != F.col("lead")
     blocks = lambda n: F.ceil(n / F.lit(crowd)).cast("int")
     sides = rest.groupBy("seg", "key", "lead").agg(blocks(F.count_if(aside)).alias("others"), blocks(F.count_if(~aside)).alias("own"))
     sides = materialize(sides, "sides")
     # Only probes that reach such a bucket, and have someone to meet, carry their fingerprint on.
-    keys = F.broadcast(sides) if sides.count() <= most_broadcast else sides
+    keys = F.broadcast(sides) if sides.count() <= most_broadcast else shuffled(sides)
     every = lambda other, n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(other).alias("other"), i.alias("block")))
     goals = F.concat(every(True, F.col("others")), F.when(F.col("group") == F.col("lead"), F.array().cast("array<struct<other:boolean,block:int>>")).otherwise(every(False, F.col("own"))))
     # The few places that a text reaches travel as one row to its fingerprint.
@@ -259,23 +259,23 @@ def near_duplicates(
     placed = rest.join(keys.drop("lead"), ["seg", "key"]).withColumn("other", aside)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("b"), F.when(aside, F.col("others")).otherwise(F.col("own"))).cast("int"))
     placed = placed.select("seg", "key", "b", "least", "b_group", "other", "block")
-    fp = lambda k: nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp"))
+    fp = lambda k: shuffled(nodes.select(F.col("id").alias(k), F.col("fp").alias(f"{k}_fp")))
     apart = sum((F.bit_count(F.col("a_fp")[i].bitwiseXOR(F.col("b_fp")[i])) for i in range(words)), F.lit(0))
     meet = F.expr("group <> b_group and (not exact or a < b and a <> least)") & (apart <= far)
     going = reach.join(fp("a"), "a").select("a", "a_fp", "group", F.explode("places").alias("p"))
     going = going.select("a", "a_fp", "group", "p.seg", "p.key", "p.exact", F.explode("p.goals").alias("goal")).select("*", "goal.other", "goal.block").drop("goal")
-    other = going.join(placed.join(fp("b"), "b"), ["seg", "key", "other", "block"]).where(meet).select(*pair).distinct()
+    other = going.join(shuffled(placed.join(fp("b"), "b")), ["seg", "key", "other", "block"]).where(meet).select(*pair).distinct()
     more = _alike(other, docs, shingle, similarity)
     for used in (rest, sides, reach):
         drop_materialized(used)
     found = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "__dq_id")
-    labels = nodes.join(found, F.col("id") == F.col("__dq_id"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(labels, "same").select("doc_id", "component_id")
+    labels = nodes.join(shuffled(found), F.col("id") == F.col("__dq_id"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(shuffled(labels), "same").select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row(s) with the least doc_id stay.
     Rows without a doc_id stay. Of rows that repeat one doc_id all stay or go alike."""
     groups = near_duplicates(docs, **options)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 import pytest
 
-from docquarry.llm import common, components, simhash, url_filter
+from docquarry.llm import common, components, line_dedup, quality, simhash, url_filter
 
 
 @contextmanager
@@ -63,3 +63,25 @@ def test_url_filter_broadcasts_nothing_by_estimate(spark, monkeypatch, rows, siz
         out = url_filter.url_filter(pages, rules, most_broadcast=rows)
         assert [p.count("BroadcastHashJoin") for _, p in found] + [plan(out).count("BroadcastHashJoin")] == [0, 0]
         assert sorted(map(str, out.collect())) == want
+
+
+def test_near_dedup_broadcasts_nothing_by_estimate(spark, monkeypatch):
+    docs = spark.createDataFrame(alike_texts(), "doc_id long, text string")
+    want = sorted(map(str, simhash.near_dedup(docs).collect()))
+    assert len(want) < 62
+    monkeypatch.setattr(common, "MOST_BROADCAST", -1)
+    with plans_with_broad_limits(spark, monkeypatch, simhash, components) as found:
+        out = simhash.near_dedup(docs, crowd=2, most_broadcast=-1)
+        found.append(("result", plan(out)))
+        assert [name for name, p in found if "BroadcastExchange" in p] == []
+        assert sorted(map(str, out.collect())) == want
+
+
+def test_rules_over_the_bound_are_not_broadcast(spark, monkeypatch):
+    rows = [(i, f"a line that recurs in all of them\nand words of its own {i} " + "w x y z " * 8, "e", "s") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with plans_with_broad_limits(spark, monkeypatch):
+        out = line_dedup.line_dedup(docs, most_broadcast=0)
+        assert "SortMergeJoin" in plan(out) and sum(r.n_dropped for r in out.collect()) == 7
+        out = quality.quality_rules(docs, most_broadcast=0)
+        assert "SortMergeJoin" in plan(out) and "BroadcastExchange" not in plan(out)
